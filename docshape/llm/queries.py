@@ -15,6 +15,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docshape.llm.media import audio_features, store_wav, with_feature_digest
+
+    return with_feature_digest(audio_features(store_wav(table(spark, sf_dir, "documents"))))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docshape.llm.token_counts import count_tokens
 
