@@ -21,6 +21,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_feature_digest(audio_features(store_wav(table(spark, sf_dir, "documents"))))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docshape.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docshape.llm.token_counts import count_tokens
 
