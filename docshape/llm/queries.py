@@ -21,6 +21,13 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_feature_digest(audio_features(store_wav(table(spark, sf_dir, "documents"))))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docshape.llm.quality import apply_quality_rules
+
+    judged = apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docshape.llm.secrets import scan_secrets
 
