@@ -74,7 +74,7 @@ class SecretModel:
         self.random = MarkovChain(s for s, y in fit if y)
         self.ordinary = MarkovChain(s for s, y in fit if not y)
         held = sorted((self.ratio(s) for i, (s, y) in enumerate(rows) if not i % 5 and not y), reverse=True)
-        self.threshold = max(2.0, held[len(held) // FALSE_ALARMS] if held else 0.0)
+        self.threshold = max(5.0, held[len(held) // FALSE_ALARMS] if held else 0.0)
 
     def ratio(self, s: str) -> float:
         return self.random.score(s) - self.ordinary.score(s)
