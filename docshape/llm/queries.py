@@ -21,6 +21,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_feature_digest(audio_features(store_wav(table(spark, sf_dir, "documents"))))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docshape.llm.jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docshape.llm.quality import apply_quality_rules
 
