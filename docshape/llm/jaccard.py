@@ -2,9 +2,9 @@
 
 Method: grouped prefix join. Every set's shingles are ordered from rare to frequent
 by their exact document frequency; two sets that reach the threshold share a
-shingle of their prefixes. Sets of identical prefix and size are collapsed into one
-group; group pairs that share a prefix shingle and pass the length filter are
-candidates; then groups are expanded and all their members' pairs verified.
+shingle of their prefixes, and enough of both follows the first such. Sets of identical prefix and size are collapsed into one
+group; group pairs that share a prefix shingle and pass the length and position
+filters are candidates; then groups are expanded and all their members' pairs verified.
 
 Plan, per pass:
 
@@ -49,7 +49,7 @@ from docshape.llm.components import connected_components
 #: Most frequent shingles known to all tasks; least share of a block's sets, and least number, to be reported.
 HOT, HOT_SHARE, HOT_LEAST = 16_384, 1 / 512, 32
 #: Shingles of a block; of a bucket, about; entries of the word memo.
-BLOCK, BUCKET, MEMO = 3_000_000, 4_000_000, 1_000_000
+BLOCK, BUCKET, MEMO = 1_500_000, 3_000_000, 250_000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _LOW48 = np.uint64((1 << 48) - 1)
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -277,26 +277,29 @@ def prefixes(returned: DataFrame, percent: int) -> DataFrame:
                 own = token[s : s + m]
                 prefix = own[:need]
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes() + n.to_bytes(8, "little")) - (1 << 63)
-                rows.append((k, n, group, prefix.astype(np.int64), planes(own)))
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "n", "group_id", "prefix", "shared"])
+                rows.append((k, n, n - int(m), group, prefix.astype(np.int64), planes(own)))
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "n", "n_unique", "group_id", "prefix", "shared"])
 
-    return returned.groupBy("part").applyInArrow(run, "key long, n long, group_id long, prefix array<long>, shared binary")
+    return returned.groupBy("part").applyInArrow(run, "key long, n long, n_unique long, group_id long, prefix array<long>, shared binary")
 
 
 def group_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of groups, a group with several members beside itself included."""
-    groups = sets.groupBy("group_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
+    groups = sets.groupBy("group_id").agg(F.first("n").alias("n"), F.first("n_unique").alias("n_unique"), F.first("prefix").alias("prefix"))
     before = F.concat(F.array(F.lit(-1).cast("long")), F.slice("prefix", 1, F.size("prefix") - 1))
-    postings = groups.select("group_id", "n", F.explode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("before"))).alias("x")).select("group_id", "n", "x.token", "x.before")
+    postings = groups.select("group_id", "n", "n_unique", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("before"))).alias("at", "x"))
+    # What a set has from this shingle on bounds what a pair has in common if this is its first common one.
+    postings = postings.select("group_id", "n", "x.token", "x.before", (F.col("n") - F.col("n_unique") - F.col("at")).alias("rest"))
     a, b = postings.alias("a"), postings.alias("b")
     met = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.group_id") < F.col("b.group_id"))
         & ((F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1))
-        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")),
+        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+        & ((100 + percent) * F.least("a.rest", "b.rest") >= percent * (F.col("a.n") + F.col("b.n"))),
     ).select(F.col("a.group_id").alias("a"), F.col("b.group_id").alias("b"))
     # Inside a group all pairs are candidates: same prefix, same size.
     alone = sets.groupBy("group_id").count().where("count > 1").select(F.col("group_id").alias("a"), F.col("group_id").alias("b"))
