@@ -33,6 +33,13 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docshape.llm.chat import fit_roles, parse_transcripts, transcripts_of
+
+    conversations = table(spark, sf_dir, "conversations")
+    return parse_transcripts(transcripts_of(conversations), fit_roles(conversations), keep=("conv_id", "part", "n_true", "true_roles"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docshape.llm.toxicity import fit_toxicity, score_toxicity
 
