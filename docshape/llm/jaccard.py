@@ -381,3 +381,19 @@ def similar_documents(docs: DataFrame, *, size: int = 2, percent: int = 60, id_c
     return documents.join(per_key, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_similar")).otherwise(F.lit(0)).alias("n_similar"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without those linked, directly or through others, to one that stays: the smallest id of its component.
+
+    All columns are kept; rows equal in id and text are one document. Null ids are the largest.
+    """
+    doc, text = F.col(id_col), F.col(text_col)
+    key = F.xxhash64(doc, text)
+    # The row travels as one struct, so that its columns can't clash with ours.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("row_key"))
+    small = docs.select(key.alias("row_key"), doc.cast("long").alias("id")).distinct()
+    found = similar_documents(docs.select(key.alias("doc_id"), text.alias("text")), **options).select(F.col("doc_id").alias("of_key"), "component_id").distinct()
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row_key")
+    kept = small.join(found, F.col("row_key") == F.col("of_key")).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("kept_key"))
+    return rows.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key"]).select("row.*")

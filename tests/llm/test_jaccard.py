@@ -4,7 +4,7 @@ import re
 import pytest
 
 from docshape.llm.components import connected_components
-from docshape.llm.jaccard import similar_documents
+from docshape.llm.jaccard import one_per_group, similar_documents
 
 
 def brute(rows, size=2, percent=60):
@@ -60,3 +60,14 @@ def test_components_of_a_path_a_star_and_a_loop(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (300, 301), (301, 300)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {300: 300, 301: 300}
+
+
+def test_one_of_each_group_stays(spark):
+    rows = made(7) + [(900, "x y z q"), (900, "x y z q"), (901, "x y z q"), (None, "x y z q")]
+    docs = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "doc_id long, text string, row_key int")
+    got = one_per_group(docs)
+    assert got.columns == docs.columns
+    distinct = list(dict.fromkeys(rows))
+    kept = [r.doc_id for r in got.collect()]
+    assert {i for i in kept if i is not None} == {c for i, _, _, c in brute(distinct) if c is not None and c in {d for d, _ in rows}}
+    assert kept.count(900) == 1 and 901 not in kept and one_per_group(docs.limit(0)).count() == 0
