@@ -6,8 +6,8 @@ rates nearest to one (in relative entropy) that meet it are exponentially tilted
 a convex dual. Newton iterations find them for all sources at once, safeguarded by a
 bracket; each is one aggregation over (source, size, number of documents). Rates are
 then rounded into whole copies, carrying the words still owed from the longest sizes
-to the shortest, so that a source misses its target by little more than half its
-shortest document.
+to the shortest and then moving single copies while that helps, so that a source
+misses its target by a few words where it has more than a few documents.
 
 Plan: texts are read once and become one small written row each; everything else
 runs over counts per (source, size), where a source of any number of documents has
@@ -22,6 +22,7 @@ Reruns over the same rows agree: ranks depend on hashes of the rows alone.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,7 +80,8 @@ def tilted_rates(sizes: DataFrame, targets: DataFrame, *, most: float = 3.0, tol
         # Outside the bracket: halve it, or step away from zero geometrically while it is still wide open.
         half = F.when(F.col("high") > 1e5, 2 * F.abs(F.col("low")) + 1).when(F.col("low") < -1e5, -2 * F.abs(F.col("high")) - 1).otherwise((F.col("low") + F.col("high")) / 2)
         moved = seen.withColumn("low", low).withColumn("high", high).withColumn("wrong", F.when(F.col("full"), 0.0).otherwise(F.abs(F.col("got") - F.col("target")) / F.greatest("target", F.lit(1.0))))
-        tilt = F.when(F.col("wrong") <= tolerance, F.col("tilt")).when(inside, newton).otherwise(half)
+        # The round that ends it still takes its step, so that sums in another order give the same rates.
+        tilt = F.when(F.col("wrong") <= 1e-12, F.col("tilt")).when(inside, newton).otherwise(half)
         moved = moved.withColumn("tilt", tilt).select(*state.columns)
         following = written(moved, "tilts")
         drop_written(state)
@@ -87,23 +89,54 @@ def tilted_rates(sizes: DataFrame, targets: DataFrame, *, most: float = 3.0, tol
         if (state.agg(F.max("wrong")).first()[0] or 0.0) <= tolerance:
             break
     rated = rate(sizes.join(state, F.col("source").eqNullSafe(F.col("s")), "left"))
-    return rated.select("source", "size", "n", F.when(F.col("size") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0).alias("rate"), F.coalesce("target", F.lit(0.0)).alias("target"))
+    return rated.select("source", "size", "n", F.round(F.when(F.col("size") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0), 6).alias("rate"), F.coalesce("target", F.lit(0.0)).alias("target"))
+
+
+def settle(size: np.ndarray, copies: np.ndarray, most: np.ndarray, owed: float, rounds: int = 50) -> float:
+    """Moves single copies, or one copy from one size to another, while that brings ``owed`` nearer to zero; sizes fall."""
+    for _ in range(rounds):
+        if not len(size) or abs(owed) < 0.5:
+            break
+        step = np.clip(np.rint(owed / size), -copies, most - copies).astype(np.int64)
+        left = np.abs(owed - step * size)
+        one = int(left.argmin())
+        # For every size that can give a copy, the size nearest to what should replace it.
+        taker, giver = np.flatnonzero(copies < most), np.flatnonzero(copies > 0)
+        best = (np.inf, 0, 0)
+        if len(taker) and len(giver):
+            rising = size[taker][::-1]
+            at = np.searchsorted(rising, owed + size[giver])
+            for near in (np.clip(at, 0, len(rising) - 1), np.clip(at - 1, 0, len(rising) - 1)):
+                gap = np.abs(owed + size[giver] - rising[near])
+                k = int(gap.argmin())
+                best = min(best, (float(gap[k]), int(giver[k]), int(taker[len(taker) - 1 - near[k]])))
+        if min(left[one], best[0]) >= abs(owed) - 1e-9:
+            break
+        if left[one] <= best[0]:
+            copies[one] += step[one]
+            owed -= step[one] * size[one]
+        else:
+            copies[best[1]] -= 1
+            copies[best[2]] += 1
+            owed -= size[best[2]] - size[best[1]]
+    return owed
 
 
 def rounded_copies(rates: DataFrame, *, most: int = 3) -> DataFrame:
     """(source, size, n, rate) -> ``base`` copies of every document and ``odd``, the number of documents with one more."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("size", ascending=False, kind="stable")
-        owed, base, odd = 0.0, [], []
-        for size, n, rate in zip(rows["size"], rows["n"], rows["rate"]):
-            whole = min(int(rate), most)
-            owed += n * (rate - whole) * size
-            extra = 0 if size == 0 or whole == most else min(n, max(0, round(owed / size)))
-            owed -= extra * size
-            base.append(whole)
-            odd.append(extra)
-        return pd.DataFrame({"source": rows["source"], "size": rows["size"], "base": base, "odd": odd})
+        rows = rows[rows["size"] > 0].sort_values("size", ascending=False, kind="stable")
+        size, n, rate = (rows[c].to_numpy() for c in ("size", "n", "rate"))
+        copies, owed = np.zeros(len(rows), np.int64), 0.0
+        for j in range(len(rows)):
+            whole = n[j] * min(int(rate[j]), most)
+            owed += (n[j] * rate[j] - whole) * size[j]
+            extra = min(n[j] * most - whole, n[j], max(0, round(owed / size[j])))
+            owed -= extra * size[j]
+            copies[j] = whole + extra
+        settle(size, copies, n * most, owed)
+        return pd.DataFrame({"source": rows["source"], "size": size, "base": (copies // np.maximum(n, 1)).astype("int32"), "odd": copies % np.maximum(n, 1)})
 
     # One row per size: a source's rows are bounded by its longest document.
     return rates.groupBy("source").applyInPandas(run, "source string, size long, base int, odd long")
@@ -120,12 +153,14 @@ def copies_by_document(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.
     copies = rounded_copies(tilted_rates(sizes, targets, most=float(most)), most=most)
     decided = written(copies.join(sizes.select(F.col("source").alias("s"), F.col("size").alias("z"), "n"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select("s", "z", "base", "odd", F.ceil(F.col("n") / group).cast("long").alias("salts")), "copies")
 
-    salted = small.join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("salt", F.pmod(F.shiftright("h", 20), F.col("salts")))
+    # Documents without words have no copies, and no row in ``decided``.
+    wordless = small.where("size = 0").select("doc_id", "source", "size", F.lit(0).alias("copies"), "h")
+    salted = small.where("size > 0").join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("salt", F.pmod(F.shiftright("h", 20), F.col("salts")))
     before = salted.groupBy("s", "z", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("s", "z").orderBy("salt")) - F.col("count"))
     before = before.select(F.col("s").alias("s2"), F.col("z").alias("z2"), F.col("salt").alias("salt2"), "before")
     placed = salted.join(before, F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("salt") == F.col("salt2")))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("s", "z", "salt").orderBy("h", "doc_id"))
-    chosen = placed.withColumn("copies", F.col("base") + (rank <= F.col("odd")).cast("int")).select("doc_id", "source", "size", "copies", "h")
+    chosen = placed.withColumn("copies", F.col("base") + (rank <= F.col("odd")).cast("int")).select("doc_id", "source", "size", "copies", "h").union(wordless)
     t = targets.select(F.col("source").alias("t"), "source_size", "target")
     return chosen.join(t, F.col("source").eqNullSafe(F.col("t"))).drop("t")
 
