@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,31 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     col = batch.column(batch.schema.get_field_index(name))
     kind = pa.large_binary() if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else pa.binary()
     return [b"" if x is None else x for x in col.cast(kind).to_pylist()]
+
+
+def bit_filter(values: DataFrame, bits: int = 24) -> np.ndarray:
+    """A filter of the one long column of ``values``: a bit set for the hash of each, 2 MB at 24 bits, however many they are.
+
+    The bits are gathered as at most ``2 ** (bits - 6)`` words. Where there are too many
+    values for it, it lets everything through and saves nothing, but is never wrong.
+    """
+    h = F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(1 << bits))
+    words = values.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("set_bits"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    found = words.toArrow()
+    out[found.column("word").to_numpy()] = found.column("set_bits").to_numpy().view(np.uint64)
+    return out
+
+
+def maybe_in(column: Column, bits: np.ndarray) -> Column:
+    """Whether a long may be among the values of a ``bit_filter``; true for all that are."""
+    size = len(bits) * 64
+
+    @F.pandas_udf("boolean")
+    def test(h):
+        import pandas as pd
+
+        x = h.to_numpy()
+        return pd.Series((bits[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)) != 0)
+
+    return test(F.pmod(F.xxhash64(column), F.lit(size)))

@@ -20,8 +20,8 @@ Plan, per pass:
 4. Groups are joined on prefix shingles by a sort-merge self-join, which Spark can
    split where one is skewed. A pair is emitted only where the shingle *before* the
    common one differs: otherwise the pair was emitted there already.
-5. Candidate pairs are binned near their neighbours, each bin gets its sets once,
-   and intersections are counted by array look-ups.
+5. Candidate pairs are binned near their neighbours, each bin gets its sets once (a
+   bit filter of fixed size leaves sets without candidates behind), and intersections are counted by array look-ups.
 
 Nothing is sampled, capped or dropped. Shingles and sets are told apart by 64-bit
 hashes (shingles by 48 bits and their bucket after the first pass).
@@ -43,13 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docshape.llm.common import drop_written, texts, written
+from docshape.llm.common import bit_filter, drop_written, maybe_in, texts, written
 from docshape.llm.components import connected_components
 
 #: Most frequent shingles known to all tasks; least share of a block's sets, and least number, to be reported.
-HOT, HOT_SHARE, HOT_LEAST = 16_384, 1 / 512, 32
+HOT, HOT_SHARE, HOT_LEAST = 65_536, 1 / 512, 8
 #: Shingles of a block; of a bucket, about; entries of the word memo.
-BLOCK, BUCKET, MEMO = 1_500_000, 3_000_000, 250_000
+BLOCK, BUCKET, MEMO = 1_500_000, 6_000_000, 250_000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _LOW48 = np.uint64((1 << 48) - 1)
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -113,16 +113,26 @@ def _first_of_each(keys: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray,
     return np.array(list(first), np.int64), [sets[i] for i in first.values()]
 
 
-def _pack6(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _pack(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _unpack6(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+def _unpack(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 
+def _pack_counts(x: np.ndarray) -> bytes:
+    """Two bytes each where they do, else four; the reader tells by the length."""
+    return x.astype("<u2" if not len(x) or x.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _unpack_counts(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, "<u2" if len(b) == 2 * n else "<u4")
+
+
 def planes(x: np.ndarray) -> bytes:
     """64-bit numbers byte plane by byte plane, which compresses the high bytes away."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -184,7 +194,7 @@ def bucketed_shingles(docs: DataFrame, size: int, block: int, hot: np.ndarray, b
             for s, n in zip(starts, sizes):
                 o = order[s : s + n]
                 a, c = _runs(cold_owner[o])
-                rows.append((int(bucket[o[0]]), key[cold_owner[o][a]].tobytes(), c.astype("<u4").tobytes(), _pack6(cold[o]), b""))
+                rows.append((int(bucket[o[0]]), key[cold_owner[o][a]].tobytes(), _pack_counts(c), _pack(cold[o], 6), b""))
             rank = by_value[at[is_hot]] if is_hot.any() else np.empty(0, np.int64)
             n_hot = np.bincount(owner[is_hot], minlength=len(own))
             ends = np.cumsum(n_hot)
@@ -192,7 +202,7 @@ def bucketed_shingles(docs: DataFrame, size: int, block: int, hot: np.ndarray, b
             for p in np.unique(part):
                 of = np.flatnonzero(part == p)
                 ranks = np.concatenate([rank[ends[i] - n_hot[i] : ends[i]] for i in of])
-                rows.append((buckets + int(p), key[of].tobytes(), n_hot[of].astype("<u4").tobytes(), ranks.astype("<u2").tobytes(), lengths[of].astype("<u4").tobytes()))
+                rows.append((buckets + int(p), key[of].tobytes(), _pack_counts(n_hot[of]), ranks.astype("<u2").tobytes(), lengths[of].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
     return docs.mapInArrow(run, _ROWS_DDL)
@@ -210,27 +220,39 @@ def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataF
         if b >= buckets:
             rows = [(b - buckets, -1, *r) for r in zip(*(_joined(table, c) for c in ("keys", "counts", "tokens", "dfs")))]
             return _table(rows)
-        keys = np.frombuffer(b"".join(_joined(table, "keys")), np.int64)
-        counts = np.frombuffer(b"".join(_joined(table, "counts")), "<u4")
-        token = _unpack6(b"".join(_joined(table, "tokens")))
-        owner = np.repeat(keys, counts)
+        keys = [np.frombuffer(k, np.int64) for k in _joined(table, "keys")]
+        counts = np.concatenate([_unpack_counts(c, len(k)) for c, k in zip(_joined(table, "counts"), keys)])
+        known, own = np.unique(np.concatenate(keys), return_inverse=True)
+        owner = np.repeat(own.astype(np.uint32), counts)
+        token = _unpack(b"".join(_joined(table, "tokens")), 6)
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
-        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
-        token, owner = token[fresh], owner[fresh]
-        _, df = _runs(token)
-        number = np.repeat(np.arange(len(df), dtype=np.int64), df)
-        df_of = np.repeat(df, df)
-        shared = df_of > 1
-        number, owner, df_of = number[shared], owner[shared], df_of[shared]
-        part = owner % parts
-        order = np.lexsort((owner, part))
-        starts, sizes = _runs(part[order])
+        del order
+        new = np.concatenate(([True], token[1:] != token[:-1]))
+        fresh = new.copy()
+        fresh[1:] |= owner[1:] != owner[:-1]
+        owner = owner[fresh]
+        starts = np.flatnonzero(new[fresh])
+        del token, new, fresh
+        df = np.diff(np.concatenate((starts, [len(owner)])))
+        # Shared shingles are numbered by frequency, so the numbers alone give the order inside a bucket.
+        shared = np.flatnonzero(df > 1)
+        shared = shared[np.argsort(df[shared], kind="stable")]
+        number = np.full(len(df), -1, np.int32)
+        number[shared] = np.arange(len(shared))
+        number = np.repeat(number, df)
+        kept = number >= 0
+        number, owner = number[kept], owner[kept]
+        part = (known % parts).astype(np.int64)
+        order = np.lexsort((number, owner, part[owner]))
+        number, owner = number[order], owner[order]
+        values, first = np.unique(df[shared], return_index=True)
+        steps = np.stack((first, values)).astype("<u4").tobytes()
+        width = 3 if len(shared) < 1 << 24 else 4
         rows = []
-        for s, n in zip(starts, sizes):
-            o = order[s : s + n]
-            a, c = _runs(owner[o])
-            rows.append((int(part[o[0]]), b, owner[o][a].tobytes(), c.astype("<u4").tobytes(), number[o].astype("<u4").tobytes(), np.minimum(df_of[o], 65_535).astype("<u2").tobytes()))
+        for s, n in zip(*_runs(part[owner])):
+            a, c = _runs(owner[s : s + n])
+            rows.append((int(part[owner[s]]), b, known[owner[s : s + n][a]].tobytes(), _pack_counts(c), _pack(number[s : s + n], width), steps))
         return _table(rows)
 
     def _table(rows: list[tuple]) -> pa.Table:
@@ -252,16 +274,19 @@ def prefixes(returned: DataFrame, percent: int) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         owners, tokens, dfs, sizes = [], [], [], {}
         for b, k, c, t, d in zip(*(_joined(table, x) for x in ("bucket", "keys", "counts", "tokens", "dfs"))):
-            k, c = np.frombuffer(k, np.int64), np.frombuffer(c, "<u4")
+            k = np.frombuffer(k, np.int64)
+            c = _unpack_counts(c, len(k))
             owners.append(np.repeat(k, c))
             if b < 0:
                 sizes.update(zip(k.tolist(), np.frombuffer(d, "<u4").tolist()))
                 rank = np.frombuffer(t, "<u2").astype(np.uint64)
                 tokens.append(rank)
-                dfs.append(rank.astype(np.int64) + (1 << 20))
+                dfs.append(rank.astype(np.int64) + (1 << 40))  # after all others
             else:
-                tokens.append(np.frombuffer(t, "<u4").astype(np.uint64) | np.uint64(b + 1) << np.uint64(32))
-                dfs.append(np.frombuffer(d, "<u2").astype(np.int64))
+                number = _unpack(t, len(t) // int(c.sum()))
+                first, value = np.frombuffer(d, "<u4").astype(np.int64).reshape(2, -1)
+                tokens.append(number | np.uint64(b + 1) << np.uint64(32))
+                dfs.append(value[np.searchsorted(first, number.astype(np.int64), side="right") - 1])
         owner, token, df = np.concatenate(owners), np.concatenate(tokens), np.concatenate(dfs)
         order = np.lexsort((token, df, owner))
         owner, token = owner[order], token[order]
@@ -306,18 +331,18 @@ def group_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return met.distinct().union(alone)
 
 
-def verified_links(sets: DataFrame, pairs: DataFrame, percent: int, *, bin_pairs: int = 50_000) -> DataFrame:
+def verified_links(sets: DataFrame, pairs: DataFrame, percent: int, *, bin_pairs: int = 50_000, bin_side: int = 300) -> DataFrame:
     """Linked pairs of sets ``a`` < ``b`` among the members of candidate group pairs (a written table)."""
-    n_pairs = pairs.count()
-    near = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("place"))
-    placed = pairs.join(near, "a")
-    # Pairs of one neighbourhood share a bin; a large neighbourhood is a grid of bins.
-    side = placed.groupBy("place").count().select("place", F.ceil(F.sqrt(F.col("count") / bin_pairs)).cast("int").alias("side"))
-    bins = max(1, -(-n_pairs // bin_pairs))
+    bins = max(1, -(-pairs.count() // bin_pairs))
+    ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # Pairs of one neighbourhood share a bin; where its sets have many partners it is a grid of bins.
+    near = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("place"), F.ceil(F.count("*") / bin_side).alias("side"))
     cell = F.xxhash64("place", F.pmod(F.xxhash64("a"), "side"), F.pmod(F.xxhash64("b"), "side"))
-    binned = placed.join(side, "place").select(F.pmod(cell, F.lit(4 * bins)).alias("bin"), "a", "b")
+    binned = pairs.join(near, "a").select(F.pmod(cell, F.lit(4 * bins)).alias("bin"), "a", "b")
     needed = binned.select("bin", F.col("a").alias("group_id")).union(binned.select("bin", F.col("b").alias("group_id"))).distinct()
-    shipped = sets.select("group_id", "key", "n", "shared").join(needed, "group_id").select(F.col("bin").alias("ship_to"), "group_id", "key", "n", "shared")
+    # Sets that no pair needs are left where they are.
+    used = sets.select("group_id", "key", "n", "shared").where(maybe_in(F.col("group_id"), bit_filter(ends.select("a"))))
+    shipped = used.join(needed, "group_id").select(F.col("bin").alias("ship_to"), "group_id", "key", "n", "shared")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
