@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,29 +69,47 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(kind).to_pylist()]
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bit_of(x: np.ndarray, bits: int) -> np.ndarray:
+    return ((x.view(np.uint64) * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def bit_filter(values: DataFrame, bits: int = 24) -> np.ndarray:
     """A filter of the one long column of ``values``: a bit set for the hash of each, 2 MB at 24 bits, however many they are.
 
-    The bits are gathered as at most ``2 ** (bits - 6)`` words. Where there are too many
-    values for it, it lets everything through and saves nothing, but is never wrong.
+    Tasks set their own bits; the driver gets at most ``2 ** (bits - 6)`` words. Where there
+    are too many values for it, it lets everything through and saves nothing, but is never wrong.
     """
-    h = F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(1 << bits))
-    words = values.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("set_bits"))
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    found = words.toArrow()
-    out[found.column("word").to_numpy()] = found.column("set_bits").to_numpy().view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << bits, bool)
+        for b in batches:
+            own[_bit_of(b.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        words = np.packbits(own, bitorder="little").view("<i8")
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(words[used])], names=["word", "set_bits"])
+
+    found = values.mapInArrow(run, "word int, set_bits long").groupBy("word").agg(F.bit_or("set_bits").alias("set_bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), "<i8")
+    out[found.column("word").to_numpy()] = found.column("set_bits").to_numpy()
     return out
 
 
-def maybe_in(column: Column, bits: np.ndarray) -> Column:
-    """Whether a long may be among the values of a ``bit_filter``; true for all that are."""
-    size = len(bits) * 64
+def in_filter(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether each long may be among the values of a ``bit_filter``; true for all that are."""
+    at = _bit_of(x, (len(words) * 64).bit_length() - 1)
+    return (words[at >> 6] >> (at & 63)) & 1 != 0
+
+
+def maybe_in(column: Column, words: np.ndarray) -> Column:
+    """``in_filter`` of a column without nulls."""
 
     @F.pandas_udf("boolean")
-    def test(h):
+    def test(x):
         import pandas as pd
 
-        x = h.to_numpy()
-        return pd.Series((bits[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)) != 0)
+        return pd.Series(in_filter(x.to_numpy(), words))
 
-    return test(F.pmod(F.xxhash64(column), F.lit(size)))
+    return test(column)

@@ -18,7 +18,8 @@ Plan, per pass:
 3. Each set orders its shingles and takes its prefix; sets whose prefix holds only
    unique shingles end here. Others are written with the shingles they share.
 4. Groups are joined on prefix shingles by a sort-merge self-join, which Spark can
-   split where one is skewed. A pair is emitted only where the shingle *before* the
+   split where one is skewed. Shingles that no set has in its index prefix (the part
+   where a smaller set can first meet a larger one) are left out by a bit filter. A pair is emitted only where the shingle *before* the
    common one differs: otherwise the pair was emitted there already.
 5. Candidate pairs are binned near their neighbours, each bin gets its sets once (a
    bit filter of fixed size leaves sets without candidates behind), and intersections are counted by array look-ups.
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docshape.llm.common import bit_filter, drop_written, maybe_in, texts, written
+from docshape.llm.common import bit_filter, drop_written, in_filter, maybe_in, texts, written
 from docshape.llm.components import connected_components
 
 #: Most frequent shingles known to all tasks; least share of a block's sets, and least number, to be reported.
@@ -310,14 +311,53 @@ def prefixes(returned: DataFrame, percent: int) -> DataFrame:
     return returned.groupBy("part").applyInArrow(run, "key long, n long, n_unique long, group_id long, prefix array<long>, shared binary")
 
 
+def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (group_id, n, n_unique, prefix) each shingle's row, itself, the one before it (-1: none), the set's size, what it has from there on."""
+    prefix = batch.column(3)
+    lengths = prefix.value_lengths().to_numpy()
+    of = np.repeat(np.arange(len(batch)), lengths)
+    token = prefix.flatten().to_numpy()
+    at = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    before = np.where(at == 0, -1, np.concatenate(([-1], token[:-1])) if len(token) else token)
+    n = batch.column(1).to_numpy()[of]
+    return of, token, before, n, n - batch.column(2).to_numpy()[of] - at
+
+
+def index_filter(groups: DataFrame, percent: int) -> np.ndarray:
+    """Shingles that can be a pair's first common one in its smaller set, whose prefix is shorter: few sets have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, token, _, n, rest = _exploded(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(token[(100 + percent) * rest >= 2 * percent * n])], names=["token"])
+
+    return bit_filter(groups.select("group_id", "n", "n_unique", "prefix").mapInArrow(run, "token long"))
+
+
+def postings(groups: DataFrame, percent: int, index: np.ndarray) -> DataFrame:
+    """Prefix shingles that some set may have in its index prefix: group_id, n, token, before, rest."""
+    names = ["group_id", "n", "token", "before", "rest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, token, before, n, rest = _exploded(batch)
+            keep = np.flatnonzero(in_filter(token, index))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[keep])), *(pa.array(x[keep]) for x in (n, token, before, rest))], names=names)
+
+    return groups.select("group_id", "n", "n_unique", "prefix").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
 def group_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of groups, a group with several members beside itself included."""
-    groups = sets.groupBy("group_id").agg(F.first("n").alias("n"), F.first("n_unique").alias("n_unique"), F.first("prefix").alias("prefix"))
-    before = F.concat(F.array(F.lit(-1).cast("long")), F.slice("prefix", 1, F.size("prefix") - 1))
-    postings = groups.select("group_id", "n", "n_unique", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), before.alias("before"))).alias("at", "x"))
-    # What a set has from this shingle on bounds what a pair has in common if this is its first common one.
-    postings = postings.select("group_id", "n", "x.token", "x.before", (F.col("n") - F.col("n_unique") - F.col("at")).alias("rest"))
-    a, b = postings.alias("a"), postings.alias("b")
+    # Of a group one member stands for all. Prefixes of surely single sets are not moved for this.
+    several = sets.groupBy("group_id").agg(F.count("*").alias("members"), F.min("key").alias("first")).where("members > 1")
+    others = sets.select("group_id", "key").join(several, "group_id").where("key <> first").select("key")
+    hidden = bit_filter(others)
+    columns = sets.select("key", "group_id", "n", "n_unique", "prefix")
+    maybe = maybe_in(F.col("key"), hidden)
+    groups = columns.where(~maybe).union(columns.where(maybe).join(others, "key", "left_anti"))
+    rows = postings(groups, percent, index_filter(groups, percent))
+    a, b = rows.alias("a"), rows.alias("b")
     met = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
@@ -327,7 +367,7 @@ def group_pairs(sets: DataFrame, percent: int) -> DataFrame:
         & ((100 + percent) * F.least("a.rest", "b.rest") >= percent * (F.col("a.n") + F.col("b.n"))),
     ).select(F.col("a.group_id").alias("a"), F.col("b.group_id").alias("b"))
     # Inside a group all pairs are candidates: same prefix, same size.
-    alone = sets.groupBy("group_id").count().where("count > 1").select(F.col("group_id").alias("a"), F.col("group_id").alias("b"))
+    alone = several.select(F.col("group_id").alias("a"), F.col("group_id").alias("b"))
     return met.distinct().union(alone)
 
 
@@ -388,7 +428,9 @@ def similar_documents(docs: DataFrame, *, size: int = 2, percent: int = 60, id_c
     top = listed.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(hot_most).collect()
     hot = np.array([r.key for r in reversed(top)], np.int64).view(np.uint64)
     total = documents.agg(F.sum("n")).first()[0] or 0
-    buckets = parts = max(1, -(-total // bucket))
+    # Enough buckets to occupy all cores twice, unless they would be small.
+    busy = min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // max(1, bucket // 8)))
+    buckets = parts = max(1, -(-total // bucket), busy)
     returned = count_frequencies(bucketed_shingles(own, size, block, hot, buckets, parts), buckets, parts)
     sets = written(prefixes(returned, percent), "prefixes")
     pairs = written(group_pairs(sets, percent), "pairs")
