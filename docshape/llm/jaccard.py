@@ -226,30 +226,39 @@ def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataF
         known, own = np.unique(np.concatenate(keys), return_inverse=True)
         owner = np.repeat(own.astype(np.uint32), counts)
         token = _unpack(b"".join(_joined(table, "tokens")), 6)
-        order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
-        del order
-        new = np.concatenate(([True], token[1:] != token[:-1]))
-        fresh = new.copy()
-        fresh[1:] |= owner[1:] != owner[:-1]
-        owner = owner[fresh]
-        starts = np.flatnonzero(new[fresh])
-        del token, new, fresh
-        df = np.diff(np.concatenate((starts, [len(owner)])))
+        del table, keys, counts
+        # A slice of the shingles at a time, which bounds what sorting takes.
+        dfs, numbers, owners, found = [], [], [], 0
+        for slice_ in range(8):
+            of = np.flatnonzero((token & np.uint64(7)) == slice_)
+            t, o = token[of], owner[of]
+            order = np.lexsort((o, t))
+            t, o = t[order], o[order]
+            new = np.concatenate(([True], t[1:] != t[:-1]))[: len(t)]
+            fresh = new.copy()
+            fresh[1:] |= o[1:] != o[:-1]
+            o = o[fresh]
+            starts = np.flatnonzero(new[fresh])
+            df = np.diff(np.concatenate((starts, [len(o)])))
+            shared = df > 1
+            owners.append(o[np.repeat(shared, df)])
+            dfs.append(df[shared])
+            numbers.append(np.repeat(np.arange(found, found + int(shared.sum()), dtype=np.int32), df[shared]))
+            found += len(dfs[-1])
+        del token, of, t, o, order, new, fresh
+        df, owner = np.concatenate(dfs), np.concatenate(owners)
         # Shared shingles are numbered by frequency, so the numbers alone give the order inside a bucket.
-        shared = np.flatnonzero(df > 1)
-        shared = shared[np.argsort(df[shared], kind="stable")]
-        number = np.full(len(df), -1, np.int32)
-        number[shared] = np.arange(len(shared))
-        number = np.repeat(number, df)
-        kept = number >= 0
-        number, owner = number[kept], owner[kept]
+        by_df = np.argsort(df, kind="stable")
+        rank = np.empty(found, np.int32)
+        rank[by_df] = np.arange(found)
+        number = rank[np.concatenate(numbers)]
+        del owners, numbers, dfs
         part = (known % parts).astype(np.int64)
         order = np.lexsort((number, owner, part[owner]))
         number, owner = number[order], owner[order]
-        values, first = np.unique(df[shared], return_index=True)
+        values, first = np.unique(df[by_df], return_index=True)
         steps = np.stack((first, values)).astype("<u4").tobytes()
-        width = 3 if len(shared) < 1 << 24 else 4
+        width = 3 if found < 1 << 24 else 4
         rows = []
         for s, n in zip(*_runs(part[owner])):
             a, c = _runs(owner[s : s + n])
@@ -430,7 +439,8 @@ def similar_documents(docs: DataFrame, *, size: int = 2, percent: int = 60, id_c
     total = documents.agg(F.sum("n")).first()[0] or 0
     # Enough buckets to occupy all cores twice, unless they would be small.
     busy = min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // max(1, bucket // 8)))
-    buckets = parts = max(1, -(-total // bucket), busy)
+    buckets = max(1, -(-total // bucket), busy)
+    parts = 3 * buckets
     returned = count_frequencies(bucketed_shingles(own, size, block, hot, buckets, parts), buckets, parts)
     sets = written(prefixes(returned, percent), "prefixes")
     pairs = written(group_pairs(sets, percent), "pairs")
