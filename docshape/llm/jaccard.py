@@ -37,6 +37,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +45,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docshape.llm.common import bit_filter, drop_written, in_filter, maybe_in, texts, written
+from docshape.llm.common import bit_filter, drop_written, in_filter, maybe_in, texts, trim, written
 from docshape.llm.components import connected_components
 
 #: Most frequent shingles known to all tasks; least share of a block's sets, and least number, to be reported.
 HOT, HOT_SHARE, HOT_LEAST = 65_536, 1 / 512, 8
 #: Shingles of a block; of a bucket, about; entries of the word memo.
-BLOCK, BUCKET, MEMO = 1_500_000, 6_000_000, 250_000
+BLOCK, BUCKET, MEMO = 750_000, 6_000_000, 250_000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _LOW48 = np.uint64((1 << 48) - 1)
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -105,6 +106,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, block: int) -> Iterato
             if total >= block:
                 yield ids, keys, sets
                 ids, keys, sets, total = [], [], [], 0
+                trim()
     if ids:
         yield ids, keys, sets
 
@@ -259,6 +261,7 @@ def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataF
         values, first = np.unique(df[by_df], return_index=True)
         steps = np.stack((first, values)).astype("<u4").tobytes()
         width = 3 if found < 1 << 24 else 4
+        trim()
         rows = []
         for s, n in zip(*_runs(part[owner])):
             a, c = _runs(owner[s : s + n])
@@ -332,28 +335,40 @@ def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return of, token, before, n, n - batch.column(2).to_numpy()[of] - at
 
 
-def index_filter(groups: DataFrame, percent: int) -> np.ndarray:
+def index_filter(parts: list[tuple[DataFrame, np.ndarray | None]], percent: int) -> np.ndarray:
     """Shingles that can be a pair's first common one in its smaller set, whose prefix is shorter: few sets have any."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, token, _, n, rest = _exploded(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(token[(100 + percent) * rest >= 2 * percent * n])], names=["token"])
+    def tokens(hidden: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, token, _, n, rest = _exploded(_shown(batch, hidden))
+                yield pa.RecordBatch.from_arrays([pa.array(token[(100 + percent) * rest >= 2 * percent * n])], names=["token"])
+
+        return run
+
+    return bit_filter(reduce(DataFrame.union, (d.mapInArrow(tokens(h), "token long") for d, h in parts)))
 
-    return bit_filter(groups.select("group_id", "n", "n_unique", "prefix").mapInArrow(run, "token long"))
 
+def _shown(batch: pa.RecordBatch, hidden: np.ndarray | None) -> pa.RecordBatch:
+    """The rows whose key (the last column) is surely not hidden."""
+    return batch if hidden is None else batch.filter(pa.array(~in_filter(batch.column(4).to_numpy(), hidden)))
 
-def postings(groups: DataFrame, percent: int, index: np.ndarray) -> DataFrame:
+
+def postings(parts: list[tuple[DataFrame, np.ndarray | None]], percent: int, index: np.ndarray) -> DataFrame:
     """Prefix shingles that some set may have in its index prefix: group_id, n, token, before, rest."""
     names = ["group_id", "n", "token", "before", "rest"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, token, before, n, rest = _exploded(batch)
-            keep = np.flatnonzero(in_filter(token, index))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[keep])), *(pa.array(x[keep]) for x in (n, token, before, rest))], names=names)
+    def rows(hidden: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                batch = _shown(whole, hidden)
+                of, token, before, n, rest = _exploded(batch)
+                keep = np.flatnonzero(in_filter(token, index))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[keep])), *(pa.array(x[keep]) for x in (n, token, before, rest))], names=names)
+
+        return run
 
-    return groups.select("group_id", "n", "n_unique", "prefix").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return reduce(DataFrame.union, (d.mapInArrow(rows(h), ", ".join(f"{c} long" for c in names)) for d, h in parts))
 
 
 def group_pairs(sets: DataFrame, percent: int) -> DataFrame:
@@ -362,9 +377,9 @@ def group_pairs(sets: DataFrame, percent: int) -> DataFrame:
     several = sets.groupBy("group_id").agg(F.count("*").alias("members"), F.min("key").alias("first")).where("members > 1")
     others = sets.select("group_id", "key").join(several, "group_id").where("key <> first").select("key")
     hidden = bit_filter(others)
-    columns = sets.select("key", "group_id", "n", "n_unique", "prefix")
-    maybe = maybe_in(F.col("key"), hidden)
-    groups = columns.where(~maybe).union(columns.where(maybe).join(others, "key", "left_anti"))
+    columns = sets.select("group_id", "n", "n_unique", "prefix", "key")
+    unsure = written(columns.where(maybe_in(F.col("key"), hidden)).join(others, "key", "left_anti").select(*columns.columns), "unsure")
+    groups = [(columns, hidden), (unsure, None)]
     rows = postings(groups, percent, index_filter(groups, percent))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(
