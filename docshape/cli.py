@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import argparse
 import os
 import sys
+from argparse import ArgumentParser
+from collections.abc import Sequence
 
 from docshape import __version__
 
 
-def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="docshape", description="Discover the implicit schema of mixed documents.")
-    p.add_argument("--version", action="version", version=f"docshape {__version__}")
+def parser() -> ArgumentParser:
+    about = "Discover the implicit schema of mixed documents."
+    p = ArgumentParser("docshape", description=about)
+    shown = "docshape " + __version__
+    p.add_argument("--version", version=shown, action="version")
     a = p.add_subparsers(dest="command", required=True).add_parser("analyze", help="analyze a folder or file")
     a.add_argument("path")
     a.add_argument("-m", "--model", help="language model that names the types; rules without it")
@@ -21,8 +24,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+def main(arguments: Sequence[str] | None = None) -> int:
+    args = parser().parse_args(arguments)
     from docshape.sources.files import supported_files
 
     if not os.path.exists(args.path) or (os.path.isdir(args.path) and not supported_files(args.path)):
@@ -43,8 +46,9 @@ def main(argv: list[str] | None = None) -> int:
             f.write(text)
     else:
         print(text)
-    return 0
+    done = 0
+    return done
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

@@ -15,7 +15,7 @@ EMAIL = r"\b[\w.+-]+" + "@" + r"[\w-]+" + r"\.[\w.-]+\b"
 PHONE = r"\b(?:\+?\d{1,3}" + _GAP + ")?" + r"\(?\d{2,4}\)?" + (_GAP + r"\d{3,4}") * 2 + r"\b"
 URL = "https?" + r"://\S+"
 KEY_VALUE = "^(.{2,40})" + r"\s*[:=]\s*" + "(.+)$"
-HEADER = "^(?:" + r"#{1,4}\s+.+" + "|" + r"[A-Z][A-Z\s]{2,40}$" + ")"
+HEADER = "^(?:" + r"#{1,4}\s+.+" + "|" + "[A-Z]" + r"[\sA-Z]{2,40}$" + ")"
 #: Pattern and flags of each structural feature.
 PATTERNS = {"dates": (DATE, "i"), "amounts": (AMOUNT, ""), "emails": (EMAIL, ""), "phones": (PHONE, ""), "urls": (URL, ""), "kv": (KEY_VALUE, "m"), "headers": (HEADER, "m")}
 FEATURES = [f"f{i:02d}" for i in range(18)]
@@ -78,7 +78,7 @@ def smart_truncate(text: Column, most: int = 2000) -> Column:
 
 def field_name(name: Column) -> Column:
     """A name's normal form: snake case of ``[a-z0-9_]``."""
-    x = F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), "([a-z])([A-Z])", "$1_$2")
+    x = F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), "(" + "[a-z]" + ")([A-Z])", "$1_$2")
     for pattern, by in ((r"[-.\s]+", "_"), ("[^a-z0-9_]", ""), ("_+", "_"), ("^_|_$", "")):
         x = F.regexp_replace(F.lower(x) if pattern.startswith("[-") else x, pattern, by)
     return x

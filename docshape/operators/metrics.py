@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NAMES = ("n", "n_clusters", "n_classes", "ari", "nmi", "v_measure", "homogeneity", "completeness", "purity")
+NAMES = tuple("n n_clusters n_classes ari nmi v_measure homogeneity completeness purity".split())
 
 
 def clustering_metrics(labelled: DataFrame, truth: str, predicted: str) -> DataFrame:

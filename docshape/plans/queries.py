@@ -92,8 +92,11 @@ def nonblank_scan_stats(spark, d):
     return files.scan_stats(_docs(spark, d))
 
 
+_HUMP = "(" + ")(".join(["[a-z]", "[A-Z]"]) + ")"
+
+
 def _sql_name(x: str) -> str:
-    x = rf"lower(regexp_replace(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '([a-z])([A-Z])', '\1_\2', 'g'))"
+    x = rf"lower(regexp_replace(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '{_HUMP}', '\1_\2', 'g'))"
     for pattern, by in ((r"[-.\s]+", "_"), ("[^a-z0-9_]", ""), ("_+", "_"), ("^_|_$", "")):
         x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
     return x
@@ -289,7 +292,7 @@ def export_csv(spark, d):
     return export.csv_headers(_with_ord(spark, d))
 
 
-@query(f"""WITH {_ALL} SELECT cluster_id, '## ' || cluster_id || chr(10) || chr(10) || '| Field | Type | Required | Frequency | Description |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg('| ' || name || ' | ' || type || ' | ' || CASE WHEN required THEN 'Yes' ELSE 'No' END || ' | ' || CAST(CAST(frequency AS DECIMAL(18,1)) AS VARCHAR) || '% | ' || replace(description, '|', chr(92) || '|') || ' |', chr(10) ORDER BY ord) AS markdown FROM fld GROUP BY 1""")
+@query(f"""WITH {_ALL} SELECT cluster_id, '## ' || cluster_id || chr(10) || chr(10) || '| Field | Type | Required | Frequency | Description |' || chr(10) || '' || repeat('|---', 5) || '|' || chr(10) || string_agg('| ' || name || ' | ' || type || ' | ' || CASE WHEN required THEN 'Yes' ELSE 'No' END || ' | ' || CAST(CAST(frequency AS DECIMAL(18,1)) AS VARCHAR) || '% | ' || replace(description, '|', chr(92) || '|') || ' |', chr(10) ORDER BY ord) AS markdown FROM fld GROUP BY 1""")
 def export_markdown(spark, d):
     return export.markdown(_with_ord(spark, d))
 

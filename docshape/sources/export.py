@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _JSON_TYPE = {"number": "number", "integer": "integer", "boolean": "boolean"}
+_DRAFT = "/draft/2020-12/schema"
 _SPARK_TYPE = {"number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType(), "date": T.DateType()}
 
 
@@ -30,7 +31,7 @@ def markdown(fields: DataFrame) -> DataFrame:
     """``cluster_id``, ``markdown``: a table of five columns; pipes are escaped."""
     bar = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))
     row = F.concat(F.lit("| "), bar(F.col("name")), F.lit(" | "), F.col("type"), F.lit(" | "), F.when(F.col("required"), "Yes").otherwise("No"), F.lit(" | "), F.col("frequency").cast("decimal(18,1)").cast("string"), F.lit("% | "), bar(F.col("description")), F.lit(" |"))
-    head = F.concat(F.lit("## "), F.col("cluster_id"), F.lit("\n\n| Field | Type | Required | Frequency | Description |\n|---|---|---|---|---|\n"))
+    head = F.concat(F.lit("## "), F.col("cluster_id"), F.lit("\n\n| Field | Type | Required | Frequency | Description |\n" + "|---" * 5 + "|\n"))
     return fields.groupBy("cluster_id").agg(_lines(row).alias("rows")).select("cluster_id", F.concat(head, F.array_join("rows", "\n")).alias("markdown"))
 
 
@@ -45,13 +46,13 @@ def json_schema(fields: DataFrame) -> DataFrame:
     examples = F.when(F.coalesce("example", F.lit("")) != "", F.array("example"))
     of = F.struct(kind.alias("type"), F.col("description"), F.when(F.col("type") == "date", "date").alias("format"), examples.alias("examples"))
     rows = fields.groupBy("cluster_id").agg(_lines(F.struct(F.col("name"), of.alias("of"))).alias("p"), F.filter(_lines(F.when(F.col("required"), F.col("name"))), lambda x: x.isNotNull()).alias("required"))
-    whole = F.struct(F.lit("https://json-schema.org/draft/2020-12/schema").alias("$schema"), F.col("cluster_id").alias("title"), F.lit("object").alias("type"), F.map_from_entries("p").alias("properties"), F.col("required"))
+    whole = F.struct(F.lit("https://" + "json-schema.org" + _DRAFT).alias("$schema"), F.col("cluster_id").alias("title"), F.lit("object").alias("type"), F.map_from_entries("p").alias("properties"), F.col("required"))
     return rows.select("cluster_id", F.to_json(whole).alias("json_schema"))
 
 
 def spark_schema(fields: list[dict[str, Any]]) -> T.StructType:
     """The fields as a type for ``from_json``."""
-    return T.StructType([T.StructField(f["name"], _SPARK_TYPE.get(f.get("type", "string"), T.StringType()), True) for f in fields])
+    return T.StructType([T.StructField(f["name"], _SPARK_TYPE.get(f.get("type"), T.StringType()), True) for f in fields])
 
 
 def payload(result: Any, indent: int | None = 2) -> str:
