@@ -323,7 +323,7 @@ def prefixes(returned: DataFrame, percent: int) -> DataFrame:
     return returned.groupBy("part").applyInArrow(run, "key long, n long, n_unique long, group_id long, prefix array<long>, shared binary")
 
 
-def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Of (group_id, n, n_unique, prefix) each shingle's row, itself, the one before it (-1: none), the set's size, what it has from there on."""
     prefix = batch.column(3)
     lengths = prefix.value_lengths().to_numpy()
