@@ -142,11 +142,13 @@ def windows(conversations: DataFrame, *, id_col: str = "conv_id", turn_col: str
     return rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("row")).alias("turns"))
 
 
-def fit_roles(conversations: DataFrame, *, sample: int = SAMPLE, **columns) -> RoleModel:
-    """Fits on the first windows of at most ``sample`` conversations, chosen by hash."""
-    known = windows(conversations, **columns).where("part = 0").orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample).collect()
+def fit_roles(conversations: DataFrame, *, sample: int = SAMPLE, id_col: str = "conv_id", **columns) -> RoleModel:
+    """Fits on the first windows of at most ``sample`` conversations, chosen by hash: ids first, then their turns alone."""
+    conv = F.col(id_col).cast("long")
+    ids = conversations.select(conv.alias("c")).where("c is not null").distinct().orderBy(F.xxhash64("c"), "c").limit(sample).collect()
+    chosen = conversations.where(conv.isin([r.c for r in ids]))
     labelled = []
-    for r in known:
+    for r in windows(chosen, id_col=id_col, **columns).where("part = 0").orderBy("conv_id").collect():
         text, states = as_transcript(r.conv_id, [(x.role, x.text) for x in r.turns])
         labelled.append((text.split("\n"), states))
     return RoleModel(labelled)
