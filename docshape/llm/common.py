@@ -7,13 +7,15 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: A word: a maximal run without ASCII white space (``bytes.split()`` yields the same words).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,6 +69,21 @@ def trim() -> None:
         pass
 
 
+_HELD: dict = {}
+
+
+def held(owner: Hashable, make: Callable[[], T] = dict) -> T:
+    """What an operator keeps in a Python worker between tasks; made anew when another operator had the worker.
+
+    Workers outlive a query, and caches of one operator would crowd the next one's memory.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

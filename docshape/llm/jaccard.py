@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docshape.llm.common import bit_filter, drop_written, in_filter, maybe_in, texts, trim, written
+from docshape.llm.common import bit_filter, drop_written, held, in_filter, maybe_in, texts, trim, written
 from docshape.llm.components import connected_components
 
 #: Most frequent shingles known to all tasks; least share of a block's sets, and least number, to be reported.
@@ -94,6 +94,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int, block: int) -> Iterator[tuple[list, list[int], list[np.ndarray]]]:
     """Ids, keys and sets of runs of documents with about ``BLOCK`` shingles."""
+    held("jaccard")
     shingle = Shingler(size)
     ids, keys, sets, total = [], [], [], 0
     for batch in batches:
@@ -223,6 +224,7 @@ def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataF
         if b >= buckets:
             rows = [(b - buckets, -1, *r) for r in zip(*(_joined(table, c) for c in ("keys", "counts", "tokens", "dfs")))]
             return _table(rows)
+        held("jaccard")
         keys = [np.frombuffer(k, np.int64) for k in _joined(table, "keys")]
         counts = np.concatenate([_unpack_counts(c, len(k)) for c, k in zip(_joined(table, "counts"), keys)])
         known, own = np.unique(np.concatenate(keys), return_inverse=True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docshape.llm.common import texts, written
+from docshape.llm.common import held, texts, written
 
 #: Entries of a Python worker's word cache, about 100 bytes each.
 CACHE = 1_000_000
@@ -51,8 +51,6 @@ class WordTokenizer:
     others (and all added tokens) through the whole tokenizer.
     """
 
-    _loaded: dict[str, WordTokenizer] = {}
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -64,9 +62,7 @@ class WordTokenizer:
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        return held((cls, path), lambda: cls(path))
 
     def _slow(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]

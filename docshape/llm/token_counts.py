@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docshape.llm.common import texts
+from docshape.llm.common import held, texts
 from docshape.llm.packing import _byte_alphabet
 
 #: How byte-level BPE cuts a text into pre-tokens (published with the vocabulary).
@@ -163,8 +163,6 @@ class BpeTransducer:
 class TextTransducer:
     """Counts the tokens of whole texts for a byte-level BPE tokenizer file."""
 
-    _loaded: dict[str, TextTransducer] = {}
-
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -180,9 +178,7 @@ class TextTransducer:
 
     @classmethod
     def of(cls, path: str) -> TextTransducer:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        return held((cls, path), lambda: cls(path))
 
     def pre_tokens(self, text: str) -> int:
         """Tokens of a text, pre-token by pre-token."""
