@@ -229,6 +229,7 @@ def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataF
         counts = np.concatenate([_unpack_counts(c, len(k)) for c, k in zip(_joined(table, "counts"), keys)])
         known, own = np.unique(np.concatenate(keys), return_inverse=True)
         owner = np.repeat(own.astype(np.uint32), counts)
+        trim()
         token = _unpack(b"".join(_joined(table, "tokens")), 6)
         del table, keys, counts
         # A slice of the shingles at a time, which bounds what sorting takes.
@@ -268,7 +269,10 @@ def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataF
         for s, n in zip(*_runs(part[owner])):
             a, c = _runs(owner[s : s + n])
             rows.append((int(part[owner[s]]), b, known[owner[s : s + n][a]].tobytes(), _pack_counts(c), _pack(number[s : s + n], width), steps))
-        return _table(rows)
+        out = _table(rows)
+        del rows, number, owner, order
+        trim()
+        return out
 
     def _table(rows: list[tuple]) -> pa.Table:
         columns = list(zip(*rows)) if rows else [[]] * 6
@@ -308,6 +312,8 @@ def prefixes(returned: DataFrame, percent: int) -> DataFrame:
         if len(owner):  # a set that several blocks sent has its hot shingles from each
             fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
             owner, token = owner[fresh], token[fresh]
+        del owners, tokens, dfs, df, order
+        trim()
         rows = []
         for s, m in zip(*_runs(owner)):
             k = int(owner[s])
@@ -425,6 +431,7 @@ def verified_links(sets: DataFrame, pairs: DataFrame, percent: int, *, bin_pairs
         values, ids = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_inverse=True)
         at = np.concatenate(([0], np.cumsum(lengths)))
         flag = np.zeros(len(values), np.int64)
+        trim()
         out_a, out_b = [], []
         for i, js in partners.items():
             flag[ids[at[i] : at[i + 1]]] = 1
