@@ -1,18 +1,17 @@
 """Substring dedup: sentences covered by a repeated run of sentences are removed.
 
-Method: sliding sentence spans. From every sentence on, the shortest run of at least
-``LEAST_SENTENCES`` consecutive sentences with at least ``LEAST_WORDS`` words is
-hashed; hashes are joined globally; of equal spans the first (smallest document,
+Method: sliding sentence spans. From every sentence on, and up to every sentence, the
+shortest run of at least ``LEAST_SENTENCES`` consecutive sentences with at least
+``LEAST_WORDS`` words is hashed (each sentence of a longer repeated run lies in one of
+these that the run holds too, so all runs are covered); hashes meet globally; of equal spans the first (smallest document,
 then position) stays, and every sentence that any other of them covers goes. A run
 depends on its own words only, so equal passages have equal runs wherever they
 stand; sentences longer than ``LONG_WORDS`` are cut after words chosen by their
 hash, so that a passage without full stops is found too, wherever it begins.
 
-Plan: an Arrow map over whole texts emits one row of three numbers a span; equal
-hashes are pre-aggregated before the shuffle (a passage in a third of all documents
-is a few rows a task), and only spans whose hash repeats are joined with their first
-place, a sort-merge join that Spark can split at a skewed hash. Removed spans meet
-their document by a hash of the row.
+Plan: an Arrow map over whole texts emits one row of four numbers a span; one shuffle
+by hash brings equal spans together, where a window takes their first place (it spills
+the rows of a frequent span). Removed spans meet their document by a hash of the row.
 
 Defined cases: null text stays null, empty stays empty; texts shorter than a span
 stay whole; repeats inside one document go as well; rows equal in id and text are
@@ -29,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docshape.llm.common import written
@@ -75,18 +74,20 @@ def _pieces(part: str, at: int) -> list[tuple[int, int, int, int]]:
 
 
 def spans(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of the run from each sentence on, where the text holds one."""
+    """(hash, first sentence, sentences) of the shortest run from each sentence on, and up to each, where the text holds one."""
     n = len(found)
     if n < LEAST_SENTENCES:
         return []
     words = np.concatenate(([0], np.cumsum([s[2] for s in found])))
-    ends = np.maximum(np.searchsorted(words, words[:-1] + LEAST_WORDS), np.arange(n) + LEAST_SENTENCES)
+    place = np.arange(n + 1)
+    ends = np.maximum(np.searchsorted(words, words[:-1] + LEAST_WORDS), place[:-1] + LEAST_SENTENCES)
+    starts = np.minimum(np.searchsorted(words, words[1:] - LEAST_WORDS, side="right") - 1, place[1:] - LEAST_SENTENCES)
     hashes = np.array([s[3] for s in found], np.uint64)
-    out = []
-    for i in np.flatnonzero(ends <= n).tolist():
-        e = int(ends[i])
-        out.append((xxhash.xxh3_64_intdigest(hashes[i:e].tobytes()) - (1 << 63), i, e - i))
-    return out
+    runs = [(i, e) for i, e in enumerate(ends.tolist()) if e <= n]
+    # A run ending at e is new unless the one from its start on is the same.
+    runs += [(i, e) for e, i in enumerate(starts.tolist(), 1) if i >= 0 and ends[i] != e]
+    data = hashes.tobytes()
+    return [(xxhash.xxh3_64_intdigest(data[8 * i : 8 * e]) - (1 << 63), i, e - i) for i, e in runs]
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,32 +96,30 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sentence_spans(own: DataFrame) -> DataFrame:
-    """``span``, ``doc_id``, ``row_key``, ``place``, ``length``: one row a span."""
-    schema = pa.schema([("span", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("place", pa.int32()), ("length", pa.int32())])
+    """``span``, ``doc_id``, ``row_key``, ``covered`` (``place << 32 | length``): one row a span."""
+    schema = pa.schema([("span", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("covered", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, places, lengths, counts = [], [], [], []
+            hashes, covered, counts = [], [], []
             for text in batch.column(1).to_pylist():
                 found = spans(sentences(text)) if text else []
                 counts.append(len(found))
                 for h, i, n in found:
                     hashes.append(h)
-                    places.append(i)
-                    lengths.append(n)
+                    covered.append(i << 32 | n)
             of = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), batch.column(0).take(of), batch.column(2).take(of), pa.array(places, pa.int32()), pa.array(lengths, pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), batch.column(0).take(of), batch.column(2).take(of), pa.array(covered, pa.int64())], schema=schema)
 
-    return own.select("doc_id", "text", "row_key").mapInArrow(run, "span long, doc_id long, row_key long, place int, length int")
+    return own.select("doc_id", "text", "row_key").mapInArrow(run, "span long, doc_id long, row_key long, covered long")
 
 
 def repeated_spans(found: DataFrame) -> DataFrame:
     """(row_key, places as ``place << 32 | length``) of the spans that aren't the first of their hash."""
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "place")
-    first = found.groupBy("span").agg(F.min(order).alias("first"), F.max(order).alias("final")).where(F.col("first") != F.col("final")).select(F.col("span").alias("repeated"), F.col("first.row_key").alias("first_key"), F.col("first.place").alias("first_place"))
-    later = found.join(first, F.col("span") == F.col("repeated")).where((F.col("row_key") != F.col("first_key")) | (F.col("place") != F.col("first_place")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "covered")
+    later = found.withColumn("first", F.min(order).over(Window.partitionBy("span"))).where((F.col("row_key") != F.col("first.row_key")) | (F.col("covered") != F.col("first.covered")))
     # A document's rows are bounded by its sentences.
-    return later.groupBy("row_key").agg(F.collect_set(F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("length"))).alias("covered"))
+    return later.groupBy("row_key").agg(F.collect_set("covered").alias("covered"))
 
 
 def removed_spans(text: str, covered: list[int]) -> tuple[int, list[tuple[int, int]], int]:

@@ -63,3 +63,28 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, text), (7, text), (7, text), (None, text)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_removed) for r in dedup_sentences(docs).collect()) == [("7", 0), ("7", 0), ("None", 2), ("None", 2)]
     assert dedup_sentences(docs.limit(0)).count() == 0
+
+
+def all_runs(rows):
+    """Per document the sentences that any repeated run covers, every run compared with every other."""
+    runs, first = [], {}
+    for d, t in sorted(rows):
+        found = sentences(t)
+        for i in range(len(found)):
+            for e in range(i + LEAST_SENTENCES, len(found) + 1):
+                if sum(s[2] for s in found[i:e]) >= LEAST_WORDS:
+                    words = tuple(tuple(t[a:b].lower().split()) for a, b, _, _ in found[i:e])
+                    runs.append((d, i, e, first.setdefault(words, (d, i)) != (d, i)))
+    return {d: {s for x, i, e, again in runs if again and x == d for s in range(i, e)} for d, _ in rows}
+
+
+def test_ends_of_passages_go(spark):
+    rng = random.Random(8)
+    sentence = lambda: " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(rng.randint(1, 19))) + "."
+    prose = lambda k: " ".join(sentence() for _ in range(k))
+    passages = [prose(rng.randint(4, 7)) for _ in range(12)]
+    rows = [(i, " ".join((prose(3), passages[i % 12], prose(3)))) for i in range(36)]
+    got = {r.doc_id: r for r in dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = all_runs(rows)
+    assert all(got[d].n_removed == len(expected[d]) for d, _ in rows)
+    assert all(not any(s in got[i].text for s in passages[i % 12].split(". ")) for i in range(12, 36) if len(passages[i % 12].split()) >= LEAST_WORDS)
