@@ -88,3 +88,14 @@ def test_ends_of_passages_go(spark):
     expected = all_runs(rows)
     assert all(got[d].n_removed == len(expected[d]) for d, _ in rows)
     assert all(not any(s in got[i].text for s in passages[i % 12].split(". ")) for i in range(12, 36) if len(passages[i % 12].split()) >= LEAST_WORDS)
+
+
+def test_passages_of_51_words_amid_other_words(spark):
+    rng = random.Random(12)
+    frequent = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 8))) for _ in range(400)]
+    words = lambda n: " ".join(frequent[int(400 * rng.random() ** 2)] for _ in range(n))
+    passages = [words(51) for _ in range(400)]
+    rows = [(400 * copy + i, " ".join((words(rng.randint(5, 40)), p, words(rng.randint(5, 40))))) for copy in range(2) for i, p in enumerate(passages)]
+    got = {r.doc_id: r for r in dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [len(rows[400 + i][1].split()) - len(got[400 + i].text.split()) for i in range(400)]
+    assert min(lost) >= LEAST_WORDS and all(got[i].n_removed == 0 for i in range(400))
