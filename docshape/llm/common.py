@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all executors are in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="docshape-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = f"file://{local}"
@@ -103,12 +105,13 @@ def _bit_of(x: np.ndarray, bits: int) -> np.ndarray:
     return ((x.view(np.uint64) * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bit_filter(values: DataFrame, bits: int = 24) -> np.ndarray:
-    """A filter of the one long column of ``values``: a bit set for the hash of each, 2 MB at 24 bits, however many they are.
+def bit_filter(values: DataFrame, expected: int, most_bits: int = 26) -> np.ndarray:
+    """A filter of the one long column of ``values``: a bit set for the hash of each, eight bits or more a value.
 
-    Tasks set their own bits; the driver gets at most ``2 ** (bits - 6)`` words. Where there
-    are too many values for it, it lets everything through and saves nothing, but is never wrong.
+    Tasks set their own bits; the driver gets at most ``2 ** (most_bits - 6)`` words, 8 MB. Where
+    there are too many values for that, it lets more and more through, but is never wrong.
     """
+    bits = min(most_bits, max(18, (8 * expected).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << bits, bool)

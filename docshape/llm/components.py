@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docshape.llm.common import written
+from docshape.llm.common import drop_written, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round moves every node's larger neighbours, then its smaller ones, onto the
     smallest neighbour known; rounds grow with the logarithm of the longest path. A
     node of any degree is handled by a partial minimum and a join; each round is
-    written to the shared folder. An edge from a node to itself is ignored.
+    written to the shared folder and the one before it deleted. An edge from a node to
+    itself, or from or to null, is ignored; without edges there are no rows.
     """
 
     def large(e: DataFrame) -> DataFrame:
@@ -35,8 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = state(now)
     while before[0]:
-        now = written(small(large(now)), "edges")
-        after = state(now)
+        following = written(small(large(now)), "edges")
+        drop_written(now)
+        now, after = following, state(following)
         if after == before:
             break
         before = after

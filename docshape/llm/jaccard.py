@@ -4,7 +4,7 @@ Method: grouped prefix join. Every set's shingles are ordered from rare to frequ
 by their exact document frequency; two sets that reach the threshold share a
 shingle of their prefixes, and enough of both follows the first such. Sets of identical prefix and size are collapsed into one
 group; group pairs that share a prefix shingle and pass the length and position
-filters are candidates; then groups are expanded and all their members' pairs verified.
+filters are candidates; then groups are expanded and their members verified.
 
 Plan, per pass:
 
@@ -16,16 +16,25 @@ Plan, per pass:
    sends each set once. A bucket counts exact frequencies, drops shingles that
    occur in one set (no pair can share them) and sends the rest back by set.
 3. Each set orders its shingles and takes its prefix; sets whose prefix holds only
-   unique shingles end here. Others are written with the shingles they share.
-4. Groups are joined on prefix shingles by a sort-merge self-join, which Spark can
-   split where one is skewed. Shingles that no set has in its index prefix (the part
-   where a smaller set can first meet a larger one) are left out by a bit filter. A pair is emitted only where the shingle *before* the
-   common one differs: otherwise the pair was emitted there already.
-5. Candidate pairs are binned near their neighbours, each bin gets its sets once (a
-   bit filter of fixed size leaves sets without candidates behind), and intersections are counted by array look-ups.
-
-Nothing is sampled, capped or dropped. Shingles and sets are told apart by 64-bit
-hashes (shingles by 48 bits and their bucket after the first pass).
+   unique shingles end here. Sets with the same shared shingles and size are one
+   *class*: whatever a member links with, all do, so pages of one template with
+   tails of their own are verified once and counted by multiplication.
+4. Groups of classes are joined on prefix shingles by a sort-merge self-join.
+   Shingles that no set has in its index prefix (the part where a smaller set can
+   first meet a larger one) are left out by a bit filter. A pair is emitted only
+   where the shingle *before* the common one differs: otherwise the pair was emitted
+   there already. Pairs of a shingle of more than ``FREQUENT`` groups are never
+   listed: its groups are dealt to a grid of cells, and a cell counts the pairs
+   whose first common shingle it is. Large groups are cut into blocks likewise.
+5. Candidate pairs are binned near their neighbours, each cell gets its classes once
+   (a bit filter leaves classes without candidates behind), and intersections are
+   counted by array look-ups. A cell returns one row a class: the number of documents
+   it links with and a class of its component, never the links themselves.
+
+Nothing is sampled, capped or dropped, and the number of tasks grows with the work.
+Sets are told apart by 64-bit keys that a second hash checks (two sets of one key
+start the first pass anew), classes by 128 bits, shingles by 64 bits (48 and their
+bucket after the first pass).
 
 Defined cases: null or empty text, or text without words, has an empty set, no links
 and is its own component; fewer words than ``size`` make one shingle; equal texts
@@ -36,13 +45,12 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docshape.llm.common import bit_filter, drop_written, held, in_filter, maybe_in, texts, trim, written
@@ -52,6 +60,10 @@ from docshape.llm.components import connected_components
 HOT, HOT_SHARE, HOT_LEAST = 65_536, 1 / 512, 8
 #: Shingles of a block; of a bucket, about; entries of the word memo.
 BLOCK, BUCKET, MEMO = 750_000, 6_000_000, 250_000
+#: Groups of a prefix shingle beyond which its pairs aren't listed but dealt to a grid of cells.
+FREQUENT = 1000
+#: A class weighs one, and one more for so many shared shingles. Weight of a block of a group's members, of a cell's side, and (squared) of a task's pairs.
+WEIGHT, ATOM, SIDE, BIN_WORK = 256, 400, 3000, 400_000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _LOW48 = np.uint64((1 << 48) - 1)
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -88,11 +100,16 @@ class Shingler:
         return np.unique(x)
 
 
-def set_key(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def set_key(shingles: np.ndarray, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed) - (1 << 63)
+
+
+def _check(shingles: np.ndarray) -> int:
+    """Another hash of a set, by which two sets of one key are noticed."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 1) - (1 << 63)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int, block: int) -> Iterator[tuple[list, list[int], list[np.ndarray]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int, block: int, seed: int) -> Iterator[tuple[list, list[int], list[np.ndarray]]]:
     """Ids, keys and sets of runs of documents with about ``BLOCK`` shingles."""
     held("jaccard")
     shingle = Shingler(size)
@@ -102,7 +119,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, block: int) -> Iterato
             s = shingle(text)
             ids.append(doc)
             sets.append(s)
-            keys.append(set_key(s))
+            keys.append(set_key(s, seed))
             total += len(s)
             if total >= block:
                 yield ids, keys, sets
@@ -154,12 +171,12 @@ def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate((starts, [len(owner)])))
 
 
-def document_sets(docs: DataFrame, size: int, block: int, hot_least: int) -> DataFrame:
-    """Rows of documents (``kind`` 0: doc_id, key, n) and of frequent shingles (``kind`` 1: key, n)."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+def document_sets(docs: DataFrame, size: int, block: int, hot_least: int, seed: int) -> DataFrame:
+    """Rows of documents (``kind`` 0: doc_id, key, n, check) and of frequent shingles (``kind`` 1: key, n)."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("check", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, sets in _blocks(batches, size, block):
+        for ids, keys, sets in _blocks(batches, size, block, seed):
             _, own = _first_of_each(keys, sets)
             token, count = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_counts=True)
             hot = count >= max(hot_least, HOT_SHARE * len(own))
@@ -167,22 +184,23 @@ def document_sets(docs: DataFrame, size: int, block: int, hot_least: int) -> Dat
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.repeat([0, 1], [k, h]), pa.int32()), pa.array(ids + [None] * h, pa.int64()),
                 pa.array(np.concatenate((np.array(keys, np.int64), token[hot].view(np.int64)))), pa.array(np.concatenate((np.array([len(s) for s in sets], np.int64), count[hot]))),
+                pa.array([_check(s) for s in sets] + [None] * h, pa.int64()),
             ], schema=schema)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, key long, n long")
+    return docs.mapInArrow(run, "kind int, doc_id long, key long, n long, check long")
 
 
 _ROWS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("dfs", pa.binary())])
 _ROWS_DDL = "bucket long, keys binary, counts binary, tokens binary, dfs binary"
 
 
-def bucketed_shingles(docs: DataFrame, size: int, block: int, hot: np.ndarray, buckets: int, parts: int) -> DataFrame:
+def bucketed_shingles(docs: DataFrame, size: int, block: int, hot: np.ndarray, buckets: int, parts: int, seed: int) -> DataFrame:
     """Per block and bucket its sets' shingles; at ``buckets`` + part, the sets' sizes and hot shingles (as ranks)."""
     by_value = np.argsort(hot)
     sorted_hot = hot[by_value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, sets in _blocks(batches, size, block):
+        for _, keys, sets in _blocks(batches, size, block, seed):
             key, own = _first_of_each(keys, sets)
             if not own:
                 continue
@@ -279,7 +297,7 @@ def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataF
         kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "bucket", "keys", "counts", "tokens", "dfs"])
 
-    return bucket_rows.groupBy("bucket").applyInArrow(run, "part long, bucket long, keys binary, counts binary, tokens binary, dfs binary")
+    return bucket_rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "part long, bucket long, keys binary, counts binary, tokens binary, dfs binary")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -287,8 +305,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefixes(returned: DataFrame, percent: int) -> DataFrame:
-    """Per set with a shared shingle in its prefix: key, n, group, prefix and all its shared shingles (``shared``)."""
+def prefixes(returned: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Per set with a shared shingle in its prefix: key, n, n_shared, its group and class, prefix and all its shared shingles (``shared``).
+
+    Sets of one class have the same shared shingles and size, so all of them meet any other set alike.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         owners, tokens, dfs, sizes = [], [], [], {}
@@ -322,17 +343,33 @@ def prefixes(returned: DataFrame, percent: int) -> DataFrame:
             if need > 0:
                 own = token[s : s + m]
                 prefix = own[:need]
-                group = xxhash.xxh3_64_intdigest(prefix.tobytes() + n.to_bytes(8, "little")) - (1 << 63)
-                rows.append((k, n, n - int(m), group, prefix.astype(np.int64), planes(own)))
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "n", "n_unique", "group_id", "prefix", "shared"])
+                size = n.to_bytes(8, "little")
+                group = xxhash.xxh3_64_intdigest(prefix.tobytes() + size) - (1 << 63)
+                of_class = xxhash.xxh3_128_digest(own.tobytes() + size)
+                rows.append((k, n, int(m), group, of_class, prefix.astype(np.int64), planes(own)))
+        columns = list(zip(*rows)) if rows else [[]] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "n", "n_shared", "group_id", "class_id", "prefix", "shared"])
 
-    return returned.groupBy("part").applyInArrow(run, "key long, n long, n_unique long, group_id long, prefix array<long>, shared binary")
+    return returned.repartition(tasks, "part").groupBy("part").applyInArrow(run, "key long, n long, n_shared long, group_id long, class_id binary, prefix array<long>, shared binary")
+
+
+def classes_of(sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """Per class: its smallest key ``rep``, its ``docs``, ``keys``, size, and the group, whether it ``leads`` it, and in how many blocks (``blocks``) the group is dealt."""
+    small = sets.select("class_id", "group_id", "n", "n_shared", "key").join(copies.select("key", "copies"), "key")
+    classes = small.groupBy("class_id").agg(F.min("key").alias("rep"), F.sum("copies").alias("docs"), F.count("*").alias("keys"), *(F.min(c).alias(c) for c in ("group_id", "n", "n_shared")))
+    weight = 1 + F.floor(F.col("n_shared") / WEIGHT)
+    groups = classes.groupBy("group_id").agg(F.count("*").alias("members"), F.ceil(F.sum(weight) / ATOM).cast("int").alias("blocks"), F.sum(weight).alias("of_group"), F.min("rep").alias("first"))
+    return classes.join(groups, "group_id").select("class_id", "rep", "docs", "keys", "n", "n_shared", "group_id", (F.col("rep") == F.col("first")).alias("leads"), "blocks", "members", (F.col("of_group") / F.col("blocks")).alias("weight"))
+
+
+def atom(group: Column, block: Column) -> Column:
+    """A block of a group's members, which no task holds more of than one at a time."""
+    return F.xxhash64(group, block.cast("int"))
 
 
 def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Of (group_id, n, n_unique, prefix) each shingle's row, itself, the one before it (-1: none), the set's size, what it has from there on."""
+    """Of (group_id, n, n_shared, prefix) each shingle's row, itself, the one before it (-1: none), the set's size, what it has from there on."""
     prefix = batch.column(3)
     lengths = prefix.value_lengths().to_numpy()
     of = np.repeat(np.arange(len(batch)), lengths)
@@ -340,123 +377,263 @@ def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     at = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     before = np.where(at == 0, -1, np.concatenate(([-1], token[:-1])) if len(token) else token)
     n = batch.column(1).to_numpy()[of]
-    return of, token, before, n, n - batch.column(2).to_numpy()[of] - at
+    return of, token, before, n, batch.column(2).to_numpy()[of] - at
 
 
-def index_filter(parts: list[tuple[DataFrame, np.ndarray | None]], percent: int) -> np.ndarray:
+def index_filter(leads: DataFrame, percent: int, expected: int) -> np.ndarray:
     """Shingles that can be a pair's first common one in its smaller set, whose prefix is shorter: few sets have any."""
 
-    def tokens(hidden: np.ndarray | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                _, token, _, n, rest = _exploded(_shown(batch, hidden))
-                yield pa.RecordBatch.from_arrays([pa.array(token[(100 + percent) * rest >= 2 * percent * n])], names=["token"])
-
-        return run
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, token, _, n, rest = _exploded(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(token[(100 + percent) * rest >= 2 * percent * n])], names=["token"])
 
-    return bit_filter(reduce(DataFrame.union, (d.mapInArrow(tokens(h), "token long") for d, h in parts)))
+    return bit_filter(leads.select("group_id", "n", "n_shared", "prefix").mapInArrow(tokens, "token long"), expected)
 
 
-def _shown(batch: pa.RecordBatch, hidden: np.ndarray | None) -> pa.RecordBatch:
-    """The rows whose key (the last column) is surely not hidden."""
-    return batch if hidden is None else batch.filter(pa.array(~in_filter(batch.column(4).to_numpy(), hidden)))
+def postings(leads: DataFrame, index: np.ndarray) -> DataFrame:
+    """Prefix shingles that some set may have in its index prefix: group_id, n, token, before, rest, blocks, weight."""
+    names = ["group_id", "n", "token", "before", "rest", "blocks", "weight"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, token, before, n, rest = _exploded(batch)
+            keep = np.flatnonzero(in_filter(token, index))
+            row = pa.array(of[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *(pa.array(x[keep]) for x in (n, token, before, rest)), batch.column(4).take(row), batch.column(5).take(row)], names=names)
 
-def postings(parts: list[tuple[DataFrame, np.ndarray | None]], percent: int, index: np.ndarray) -> DataFrame:
-    """Prefix shingles that some set may have in its index prefix: group_id, n, token, before, rest."""
-    names = ["group_id", "n", "token", "before", "rest"]
-
-    def rows(hidden: np.ndarray | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                batch = _shown(whole, hidden)
-                of, token, before, n, rest = _exploded(batch)
-                keep = np.flatnonzero(in_filter(token, index))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[keep])), *(pa.array(x[keep]) for x in (n, token, before, rest))], names=names)
-
-        return run
-
-    return reduce(DataFrame.union, (d.mapInArrow(rows(h), ", ".join(f"{c} long" for c in names)) for d, h in parts))
+    return leads.select("group_id", "n", "n_shared", "prefix", "blocks", "weight").mapInArrow(run, "group_id long, n long, token long, before long, rest long, blocks int, weight double")
 
 
-def group_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of groups, a group with several members beside itself included."""
-    # Of a group one member stands for all. Prefixes of surely single sets are not moved for this.
-    several = sets.groupBy("group_id").agg(F.count("*").alias("members"), F.min("key").alias("first")).where("members > 1")
-    others = sets.select("group_id", "key").join(several, "group_id").where("key <> first").select("key")
-    hidden = bit_filter(others)
-    columns = sets.select("group_id", "n", "n_unique", "prefix", "key")
-    unsure = written(columns.where(maybe_in(F.col("key"), hidden)).join(others, "key", "left_anti").select(*columns.columns), "unsure")
-    groups = [(columns, hidden), (unsure, None)]
-    rows = postings(groups, percent, index_filter(groups, percent))
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(
+def group_pairs(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of groups that meet in a shingle of at most ``FREQUENT`` groups: a posting meets no more than so many."""
+    rare = rows.join(frequent.select("token"), "token", "left_anti")
+    a, b = rare.alias("a"), rare.alias("b")
+    return a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.group_id") < F.col("b.group_id"))
         & ((F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1))
         & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
         & ((100 + percent) * F.least("a.rest", "b.rest") >= percent * (F.col("a.n") + F.col("b.n"))),
-    ).select(F.col("a.group_id").alias("a"), F.col("b.group_id").alias("b"))
+    ).select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("group_id", "blocks", "weight"))).distinct()
+
+
+def atom_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Group pairs, and every group of several classes beside itself, as pairs of their blocks: a, b, and the pair's work."""
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    weight = lambda s: F.col(f"weight_{s}").alias(f"weight_{s}")
+    apart = groups.withColumn("i", numbers("blocks_a")).withColumn("j", numbers("blocks_b"))
+    apart = apart.select(atom(F.col("group_id_a"), F.col("i")).alias("a"), atom(F.col("group_id_b"), F.col("j")).alias("b"), weight("a"), weight("b"))
     # Inside a group all pairs are candidates: same prefix, same size.
-    alone = several.select(F.col("group_id").alias("a"), F.col("group_id").alias("b"))
-    return met.distinct().union(alone)
+    alone = classes.where("leads and members > 1").select("group_id", "blocks", F.col("weight").alias("weight_a"), F.col("weight").alias("weight_b")).withColumn("i", numbers("blocks"))
+    alone = alone.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)))
+    return apart.union(alone.select(atom(F.col("group_id"), F.col("i")).alias("a"), atom(F.col("group_id"), F.col("j")).alias("b"), weight("a"), weight("b")))
 
 
-def verified_links(sets: DataFrame, pairs: DataFrame, percent: int, *, bin_pairs: int = 50_000, bin_side: int = 300) -> DataFrame:
-    """Linked pairs of sets ``a`` < ``b`` among the members of candidate group pairs (a written table)."""
-    bins = max(1, -(-pairs.count() // bin_pairs))
-    ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # Pairs of one neighbourhood share a bin; where its sets have many partners it is a grid of bins.
-    near = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("place"), F.ceil(F.count("*") / bin_side).alias("side"))
+def pair_cells(pairs: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Where each pair of blocks is verified (ship_to, a, b), and which block goes where (ship_to, atom)."""
+    turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("weight_b").alias("weight_a"), F.col("weight_a").alias("weight_b"))
+    ends = pairs.unionByName(turned)
+    # Pairs of one neighbourhood share a cell; where its sets have many partners it is a grid of cells.
+    near = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("place"), F.ceil(F.sum("weight_b") / SIDE).alias("side"))
     cell = F.xxhash64("place", F.pmod(F.xxhash64("a"), "side"), F.pmod(F.xxhash64("b"), "side"))
-    binned = pairs.join(near, "a").select(F.pmod(cell, F.lit(4 * bins)).alias("bin"), "a", "b")
-    needed = binned.select("bin", F.col("a").alias("group_id")).union(binned.select("bin", F.col("b").alias("group_id"))).distinct()
-    # Sets that no pair needs are left where they are.
-    used = sets.select("group_id", "key", "n", "shared").where(maybe_in(F.col("group_id"), bit_filter(ends.select("a"))))
-    shipped = used.join(needed, "group_id").select(F.col("bin").alias("ship_to"), "group_id", "key", "n", "shared")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    placed = pairs.join(near, "a").select(F.pmod(cell, F.lit(4 * tasks)).alias("ship_to"), "a", "b")
+    return placed, placed.select("ship_to", F.col("a").alias("atom")).union(placed.select("ship_to", F.col("b").alias("atom"))).distinct()
+
+
+def frequent_cells(rows: DataFrame, frequent: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Shingles of very many groups, whose pairs are never listed: cells (ship_to, token, alone) and what goes there (ship_to, atom, before, half).
+
+    A shingle's groups are told apart by size class (only neighbours can link) and by
+    the shingle before it, where many have that one in common: such groups have met
+    there already. What is left is dealt to strips of weight ``SIDE``; a cell is two
+    strips, or one and itself.
+    """
+    met = rows.join(frequent.select("token"), "token")
+    spread = met.withColumn("atom", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: atom(F.col("group_id"), k))))
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    spread = spread.select("token", level.alias("level"), "before", "atom", "weight")
+    common = spread.groupBy("token", "before").agg(F.sum("weight").alias("w")).where((F.col("w") > SIDE) & (F.col("before") != -1)).select(F.col("token").alias("t"), F.col("before").alias("b"))
+    spread = spread.join(common, (F.col("token") == F.col("t")) & (F.col("before") == F.col("b")), "left").select("token", "level", "before", F.col("b").alias("lot"), "atom", "weight")
+    strips = spread.groupBy("token", "level", "lot").agg(F.ceil(F.sum("weight") / SIDE).cast("int").alias("strips"))
+    of = lambda s: strips.select(F.col("token").alias(f"token_{s}"), F.col("level").alias(f"level_{s}"), F.col("lot").alias(f"lot_{s}"), F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias(f"strip_{s}"))
+    place = lambda s: F.struct(F.col(f"level_{s}").alias("x"), F.coalesce(f"lot_{s}", F.lit(-2)).alias("y"), F.col(f"strip_{s}").alias("z"))
+    # Groups that share the shingle before have no first meeting here, unless that one is none.
+    new = F.col("lot_a").isNull() | F.col("lot_b").isNull() | (F.col("lot_a") != F.col("lot_b"))
+    cells = of("a").join(of("b"), (F.col("token_a") == F.col("token_b")) & (F.abs(F.col("level_a") - F.col("level_b")) <= 1) & new & (place("a") <= place("b")))
+    one = place("a") == place("b")
+    # Below all numbers of the other cells.
+    number = F.xxhash64("token_a", place("a"), place("b")).bitwiseOR(F.lit(-(1 << 63)))
+    cells = cells.select("*", number.alias("ship_to"), one.alias("alone"))
+    ends = cells.select("ship_to", F.col("token_a").alias("c_token"), F.col("level_a").alias("c_level"), F.col("lot_a").alias("c_lot"), F.col("strip_a").alias("c_strip"), F.lit(0).alias("half"))
+    ends = ends.union(cells.where(~F.col("alone")).select("ship_to", "token_b", "level_b", "lot_b", "strip_b", F.lit(1)))
+    dealt = spread.join(strips.select(F.col("token").alias("s_token"), F.col("level").alias("s_level"), F.col("lot").alias("s_lot"), "strips"), (F.col("token") == F.col("s_token")) & (F.col("level") == F.col("s_level")) & F.col("lot").eqNullSafe(F.col("s_lot")))
+    dealt = dealt.select("token", "level", "lot", "before", "atom", F.pmod(F.xxhash64("atom"), "strips").cast("int").alias("strip"))
+    sent = dealt.join(ends, (F.col("token") == F.col("c_token")) & (F.col("level") == F.col("c_level")) & F.col("lot").eqNullSafe(F.col("c_lot")) & (F.col("strip") == F.col("c_strip")))
+    return cells.select("ship_to", F.col("token_a").alias("token"), "alone"), sent.select("ship_to", "atom", "before", "half")
+
+
+class _Cell:
+    """The classes of a cell, their links' counts and components."""
+
+    def __init__(self, n: np.ndarray, docs: np.ndarray, own: list[np.ndarray], percent: int) -> None:
+        self.n, self.docs, self.percent = n, docs, percent
+        self.lengths = np.array([len(x) for x in own], np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.lengths)))
+        self.values, self.ids = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_inverse=True)
+        self.flag = np.zeros(len(self.values), bool)
+        self.others = np.zeros(len(n), np.int64)
+        self.parent = np.arange(len(n))
+
+    def link(self, i: int, js: np.ndarray, where: np.ndarray, lengths: np.ndarray, met: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> None:
+        """Verifies class ``i`` against ``js``, whose shingles' numbers are ``where``; ``met`` tells from the first common one who is to be counted."""
+        own = self.ids[self.at[i] : self.at[i + 1]]
+        self.flag[own] = True
+        hit = self.flag[where]
+        starts = np.cumsum(lengths) - lengths
+        both = np.add.reduceat(hit, starts, dtype=np.int64)
+        good = 100 * both >= self.percent * (self.n[i] + self.n[js] - both)
+        if met is not None and good.any():
+            found = np.flatnonzero(hit)
+            first = where[found[np.minimum(np.searchsorted(found, starts[good]), len(found) - 1)]]
+            good[good] = met(js[good], first)
+        self.flag[own] = False
+        j = js[good]
+        if len(j):
+            self.others[i] += self.docs[j].sum()
+            self.others[j] += self.docs[i]
+            top = self.parent[np.append(j, i)]
+            while (self.parent[top] != top).any():
+                top = self.parent[top]
+            self.parent[top] = top.min()
+
+    def listed(self, i: int, js: np.ndarray, met: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> None:
+        for s in range(0, len(js), 2000):
+            j = js[s : s + 2000]
+            self.link(i, j, np.concatenate([self.ids[self.at[x] : self.at[x + 1]] for x in j]), self.lengths[j], met)
+
+    def roots(self) -> np.ndarray:
+        while (self.parent[self.parent] != self.parent).any():
+            self.parent = self.parent[self.parent]
+        return self.parent
+
+
+def verified_cells(reps: DataFrame, sent: DataFrame, work: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Per cell and class with links there: ``rep``, ``others`` (documents of the classes linked), ``root`` (a class of its component)."""
+    shipped = reps.select("atom", "group_id", "key", "n", "docs", "frequent", "shared").join(sent, "atom")
+    schema = pa.schema([("rep", pa.int64()), ("others", pa.int64()), ("root", pa.int64())])
 
     def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        key, n = left.column("key").to_numpy(), left.column("n").to_numpy()
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        key, group = left.column("key").to_numpy(), left.column("group_id").to_numpy()
         own = [from_planes(x) for x in left.column("shared").to_pylist()]
-        members: dict[int, list[int]] = {}
-        for i, g in enumerate(left.column("group_id").to_pylist()):
-            members.setdefault(g, []).append(i)
-        partners: dict[int, list[int]] = {}
-        for ga, gb in zip(right.column("a").to_pylist(), right.column("b").to_pylist()):
-            for i in members[ga]:
-                partners.setdefault(i, []).extend(members[gb] if ga != gb else (j for j in members[gb] if j > i))
-        lengths = np.array([len(x) for x in own], np.int64)
-        values, ids = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_inverse=True)
-        at = np.concatenate(([0], np.cumsum(lengths)))
-        flag = np.zeros(len(values), np.int64)
         trim()
-        out_a, out_b = [], []
-        for i, js in partners.items():
-            flag[ids[at[i] : at[i + 1]]] = 1
-            for s in range(0, len(js), 2000):
-                j = np.array(js[s : s + 2000], np.int64)
-                if not len(j):
-                    continue
-                both = np.add.reduceat(flag[np.concatenate([ids[at[x] : at[x + 1]] for x in j])], np.concatenate(([0], np.cumsum(lengths[j])[:-1])))
-                linked = j[100 * both >= percent * (n[i] + n[j] - both)]
-                out_a.append(np.minimum(key[i], key[linked]))
-                out_b.append(np.maximum(key[i], key[linked]))
-            flag[ids[at[i] : at[i + 1]]] = 0
-        return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (out_a, out_b)], schema=schema)
-
-    return shipped.groupBy("ship_to").cogroup(binned.groupBy("bin")).applyInArrow(run, "a long, b long")
-
-
-def similar_documents(docs: DataFrame, *, size: int = 2, percent: int = 60, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET, hot_most: int = HOT, hot_least: int = HOT_LEAST) -> DataFrame:
+        cell = _Cell(left.column("n").to_numpy(), left.column("docs").to_numpy(), own, percent)
+        del own
+        tokens = [t for t in right.column("token").to_pylist() if t is not None]
+        if tokens:
+            _all_of(cell, group, left.column("before").to_numpy(), left.column("half").to_numpy(), np.uint64(tokens[0]), bool(right.column("alone")[0].as_py()))
+        else:
+            _pairs_of(cell, left.column("atom").to_pylist(), group, left.column("frequent").to_pylist(), zip(right.column("a").to_pylist(), right.column("b").to_pylist()))
+        root = cell.roots()
+        seen = np.flatnonzero(cell.others > 0)
+        return pa.Table.from_arrays([pa.array(key[seen]), pa.array(cell.others[seen]), pa.array(key[root[seen]])], schema=schema)
+
+    return shipped.repartition(tasks, "ship_to").groupBy("ship_to").cogroup(work.withColumnRenamed("ship_to", "cell").repartition(tasks, "cell").groupBy("cell")).applyInArrow(run, "rep long, others long, root long")
+
+
+def _pairs_of(cell: _Cell, atoms: list[int], group: np.ndarray, frequent: list[list[int] | None], pairs: Iterable[tuple[int, int]]) -> None:
+    """Members of listed pairs of blocks. Those whose first common shingle is a frequent one are counted in its own cells."""
+    members: dict[int, list[int]] = {}
+    for i, a in enumerate(atoms):
+        members.setdefault(a, []).append(i)
+    partners: dict[int, list[np.ndarray]] = {}
+    for a, b in pairs:
+        here, there = np.array(members.get(a, ()), np.int64), np.array(members.get(b, ()), np.int64)
+        for k, i in enumerate(here):
+            partners.setdefault(int(i), []).append(there if a != b else here[k + 1 :])
+    hidden = [np.array(x, np.int64).view(np.uint64) if x else None for x in frequent]
+    for i, parts in partners.items():
+        js = np.concatenate(parts)
+        if not len(js):
+            continue
+        met = None
+        if hidden[i] is not None:
+            met = lambda j, first, i=i: (group[j] == group[i]) | ~np.isin(cell.values[first], hidden[i])
+        cell.listed(i, js, met)
+
+
+def _all_of(cell: _Cell, group: np.ndarray, before: np.ndarray, half: np.ndarray, token: np.uint64, alone: bool) -> None:
+    """All pairs of a frequent shingle's cell that meet in it first, but those of one group."""
+    number = int(np.searchsorted(cell.values, token))
+    right = np.flatnonzero(half == (0 if alone else 1))
+    for a in range(0, len(right), 2000):
+        js = right[a : a + 2000]
+        where = np.concatenate([cell.ids[cell.at[x] : cell.at[x + 1]] for x in js])
+        lengths = cell.lengths[js]
+        for i in np.flatnonzero(half == 0):
+            ok = (group[js] != group[i]) & ((before[js] != before[i]) | (before[i] == -1))
+            if alone:
+                ok &= js > i
+            if ok.any():
+                cell.link(int(i), js, where, lengths, lambda j, first, i=i: (first == number) & (group[j] != group[i]) & (~np.bool_(alone) | (j > i)))
+
+
+def linked_classes(sets: DataFrame, copies: DataFrame, percent: int, frequent_at: int) -> tuple[DataFrame, DataFrame]:
+    """(classes, links): ``links`` has rep, others, root, from every cell (a written table)."""
+    cores = sets.sparkSession.sparkContext.defaultParallelism
+    classes = written(classes_of(sets, copies), "classes")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    told = classes.select("rep", "docs", "leads", "blocks", "weight", atom(F.col("group_id"), block).alias("atom"))
+    reps = written(sets.select("key", "n", "n_shared", "group_id", "prefix", "shared").join(told, F.col("key") == F.col("rep")).withColumn("prefix", F.when(F.col("leads"), F.col("prefix"))).drop("rep"), "classes")
+    leads = reps.where("leads")
+    shared = classes.where("leads").agg(F.sum("n_shared")).first()[0] or 0
+    rows = written(postings(leads, index_filter(leads, percent, shared // 4)), "postings")
+    frequent = written(rows.groupBy("token").count().where(F.col("count") > frequent_at), "frequent")
+    pairs = written(atom_pairs(group_pairs(rows, frequent, percent), classes), "pairs")
+    listed = pairs.agg(F.sum(F.col("weight_a") * F.col("weight_b"))).first()[0] or 0.0
+    tasks = max(1, min(cores, int(listed // 20_000) + 1), int(listed // BIN_WORK) + 1)
+    work, sent = pair_cells(pairs, tasks)
+    work = work.select("ship_to", "a", "b", F.lit(None).cast("long").alias("token"), F.lit(None).cast("boolean").alias("alone"))
+    sent = sent.select("ship_to", "atom", F.lit(None).cast("long").alias("before"), F.lit(None).cast("int").alias("half"))
+    none = F.lit(None).cast("array<long>")
+    if frequent.isEmpty():
+        told_reps, cells = reps.withColumn("frequent", none), None
+    else:
+        cells, goods = frequent_cells(rows, frequent, percent)
+        cells, goods = written(cells, "cells"), written(goods, "cells")
+        tasks += min(cells.count(), max(cores, goods.count() // 20_000))
+        work = work.union(cells.select("ship_to", F.lit(None).cast("long"), F.lit(None).cast("long"), "token", "alone"))
+        sent = sent.union(goods)
+        # A group's frequent shingles are no more than its prefix.
+        of_group = rows.join(frequent.select("token"), "token").groupBy(F.col("group_id").alias("g")).agg(F.collect_list("token").alias("frequent"))
+        told_reps = reps.join(of_group, F.col("group_id") == F.col("g"), "left")
+    # Classes that no pair needs are left where they are.
+    ends = sent.select("atom").distinct()
+    used = told_reps.where(maybe_in(F.col("atom"), bit_filter(ends, ends.count())))
+    links = written(verified_cells(used, sent, work, percent, tasks), "links")
+    for t in (reps, rows, frequent, pairs, *((cells, goods) if cells is not None else ())):
+        drop_written(t)
+    return classes, links
+
+
+def similar_documents(docs: DataFrame, *, size: int = 2, percent: int = 60, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET, hot_most: int = HOT, hot_least: int = HOT_LEAST, frequent: int = FREQUENT) -> DataFrame:
     """Per document: ``n_shingles``, ``n_similar`` (other documents linked directly) and ``component_id``.
 
     Documents link when 100 x intersection >= ``percent`` x union of their shingle sets.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    listed = written(document_sets(own, size, block, hot_least), "sets")
-    documents = listed.where("kind = 0").select("doc_id", "key", "n")
+    seed = 0
+    while True:
+        listed = written(document_sets(own, size, block, hot_least, seed), "sets")
+        documents = listed.where("kind = 0").select("doc_id", "key", "n", "check")
+        copies = written(documents.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), (F.min("check") != F.max("check")).alias("mixed")), "copies")
+        if copies.where("mixed").isEmpty():
+            break
+        drop_written(listed)  # two sets of one key: all keys are made anew
+        seed += 1
     # At most ``hot_most`` rows reach the driver, the rarest first.
     top = listed.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(hot_most).collect()
     hot = np.array([r.key for r in reversed(top)], np.int64).view(np.uint64)
@@ -465,20 +642,21 @@ def similar_documents(docs: DataFrame, *, size: int = 2, percent: int = 60, id_c
     busy = min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // max(1, bucket // 8)))
     buckets = max(1, -(-total // bucket), busy)
     parts = 3 * buckets
-    returned = count_frequencies(bucketed_shingles(own, size, block, hot, buckets, parts), buckets, parts)
-    sets = written(prefixes(returned, percent), "prefixes")
-    pairs = written(group_pairs(sets, percent), "pairs")
-    links = written(verified_links(sets, pairs, percent), "links")
-    drop_written(sets)
-    drop_written(pairs)
-
-    copies = documents.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(copies.select(F.col("key").alias("b"), "copies"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("others"))
-    roots = connected_components(links).withColumnRenamed("node", "key")
-    per_key = copies.join(linked, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    returned = count_frequencies(bucketed_shingles(own, size, block, hot, buckets, parts, seed), buckets, parts)
+    sets = written(prefixes(returned, percent, buckets), "prefixes")
+    classes, links = linked_classes(sets, copies, percent, frequent)
+
+    met = written(links.groupBy("rep").agg(F.sum("others").alias("others")).join(connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep"), "rep", "left"), "met")
+    # Members of a class link with each other where its shared shingles are enough for that.
+    inside = 100 * F.col("n_shared") >= percent * (2 * F.col("n") - F.col("n_shared"))
+    of_class = classes.select("class_id", "rep", "docs", inside.alias("inside")).join(met, "rep", "left")
+    per_key = sets.select("key", "class_id").join(of_class, "class_id").select("key", "docs", "inside", F.coalesce("others", F.lit(0)).alias("others"), F.when(F.col("inside") | F.col("others").isNotNull(), F.coalesce("root", "rep")).alias("root"))
+    per_key = copies.join(per_key, "key", "left").withColumn("root", F.coalesce("root", "key"))
     first = per_key.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    per_key = per_key.join(first, "root").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), "component_id")
+    similar = F.col("copies") - 1 + F.when(F.coalesce("inside", F.lit(False)), F.col("docs") - F.col("copies")).otherwise(0) + F.coalesce("others", F.lit(0))
+    per_key = written(per_key.join(first, "root").select("key", similar.alias("n_similar"), "component_id"), "by_set")
+    for t in (sets, classes, links, copies, met):
+        drop_written(t)
     return documents.join(per_key, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_similar")).otherwise(F.lit(0)).alias("n_similar"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
@@ -487,14 +665,13 @@ def similar_documents(docs: DataFrame, *, size: int = 2, percent: int = 60, id_c
 def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without those linked, directly or through others, to one that stays: the smallest id of its component.
 
-    All columns are kept; rows equal in id and text are one document. Null ids are the largest.
+    All columns are kept. Null ids are the largest; of equal ids the row read first
+    stays. Rows are numbered in a written table, as one struct, so that no two are
+    taken for one and their columns can't clash with ours.
     """
-    doc, text = F.col(id_col), F.col(text_col)
-    key = F.xxhash64(doc, text)
-    # The row travels as one struct, so that its columns can't clash with ours.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("row_key"))
-    small = docs.select(key.alias("row_key"), doc.cast("long").alias("id")).distinct()
-    found = similar_documents(docs.select(key.alias("doc_id"), text.alias("text")), **options).select(F.col("doc_id").alias("of_key"), "component_id").distinct()
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "row_key")
-    kept = small.join(found, F.col("row_key") == F.col("of_key")).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("kept_key"))
-    return rows.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key"]).select("row.*")
+    rows = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("row_id")), "rows")
+    doc = F.col("row").getField(id_col).cast("long")
+    found = similar_documents(rows.select(F.col("row_id").alias("doc_id"), F.col("row").getField(text_col).alias("text")), **options).select(F.col("doc_id").alias("of_row"), "component_id")
+    order = F.struct(doc.isNull().alias("last"), doc.alias("id"), "row_id")
+    kept = rows.select("row_id", order.alias("o")).join(found, F.col("row_id") == F.col("of_row")).groupBy("component_id").agg(F.min("o").alias("first")).select(F.col("first.row_id").alias("kept_id"))
+    return rows.join(kept, F.col("row_id") == F.col("kept_id"), "left_semi").select("row.*")

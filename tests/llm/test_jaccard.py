@@ -52,6 +52,27 @@ def test_equals_brute_force(spark, seed, sizes):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("options", [{}, {"frequent": 3}, {"frequent": 0, "block": 100, "bucket": 500}])
+def test_templates_with_tails(spark, monkeypatch, options):
+    from docshape.llm import jaccard
+
+    if options:
+        monkeypatch.setattr(jaccard, "SIDE", 4)
+        monkeypatch.setattr(jaccard, "ATOM", 3)
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(30)]
+    few = [f"v{i}" for i in range(9)]
+    texts = [" ".join([*template, f"u{i}"]) for i in range(40)]  # tails of their own: one class
+    texts += [" ".join([*template, *rng.choices(few, k=rng.randint(1, 9))]) for _ in range(60)]  # tails that others share
+    texts += [" ".join(template[: rng.randint(15, 30)]) for _ in range(20)]
+    texts += [" ".join(["u", *rng.choices(few, k=3), f"w{i}"]) for i in range(20)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in similar_documents(docs, **options).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_empty_table(spark):
     assert similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -67,7 +88,6 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "doc_id long, text string, row_key int")
     got = one_per_group(docs)
     assert got.columns == docs.columns
-    distinct = list(dict.fromkeys(rows))
     kept = [r.doc_id for r in got.collect()]
-    assert {i for i in kept if i is not None} == {c for i, _, _, c in brute(distinct) if c is not None and c in {d for d, _ in rows}}
+    assert {i for i in kept if i is not None} == {c for i, _, _, c in brute(rows) if c is not None and c in {d for d, _ in rows}}
     assert kept.count(900) == 1 and 901 not in kept and one_per_group(docs.limit(0)).count() == 0
