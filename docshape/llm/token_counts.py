@@ -1,9 +1,12 @@
 """Token counts from a tokenizer compiled to a finite-state transducer.
 
 Method: a byte-level BPE tokenizer is compiled into a deterministic transducer
-whose transitions carry the number of tokens they emit; chunks of a text become
-maps from an entry state to an exit state with a count, and these compose
-associatively, so a prefix scan over the chunks gives every running count.
+whose transitions carry the number of tokens they emit (less where tokens merge);
+the chunks of a text over ``CHUNK`` bytes become maps from an entry state to an exit
+state with a count, and these compose associatively in a tree (the up-sweep of a
+prefix scan, of which only the last value is wanted), in the task that has the text.
+A chunk's map doesn't depend on its entry beyond its first sure start of a pre-token,
+so that every character is read once, in any language, and time is linear.
 
 *Inside a pre-token.* BPE has one tokenization for every prefix, and a token may
 end a prefix only if it survives next to the token before it (Berglund and van der
@@ -13,7 +16,7 @@ state's own; both are bounded, so the states are finitely many. They are
 determinized on demand in each Python worker and kept. A transition's emission
 is the change of the count, which may be negative when tokens merge.
 
-*Between pre-tokens.* A space (or line feed) between two characters that are not
+*Between pre-tokens.* ``TextTransducer.run`` steps from any state. A space (or line feed) between two characters that are not
 white space always starts a pre-token. What lies between two such places is an
 atom; the transducer's whole run over an atom is kept as one composite transition.
 
@@ -39,6 +42,8 @@ from docshape.llm.packing import _byte_alphabet
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of a chunk of a long text; entries of the memos of composite transitions; compiled transitions.
 CHUNK, MEMO, ARCS = 65_536, 1_000_000, 1_500_000
+#: Bytes of an atom that is remembered.
+LONG_ATOM = 64
 
 _SPACE = regex.compile(r"\s")
 _PLAIN = regex.compile("(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:]?)")
@@ -148,20 +153,35 @@ class BpeTransducer:
         self.step[state << 8 | byte] = to, emitted
         return to, emitted
 
+    def trim_long(self) -> None:
+        """As ``trim``, between the chunks of a long text: states that are held stay what they are."""
+        if len(self.step) > ARCS:
+            self.step.clear()
+
     def count(self, pre_token: bytes) -> int:
-        state = total = 0
+        return self.run(0, pre_token)[1]
+
+    def run(self, state: int, data: bytes) -> tuple[int, int]:
+        """(state after ``data``, tokens emitted) from a state inside a pre-token."""
+        total = 0
         step = self.step
-        for byte in pre_token:
+        for byte in data:
             arc = step.get(state << 8 | byte)
             if arc is None:
                 arc = self._compile(state, byte)
             state = arc[0]
             total += arc[1]
-        return total
+        return state, total
 
 
 class TextTransducer:
-    """Counts the tokens of whole texts for a byte-level BPE tokenizer file."""
+    """Counts the tokens of whole texts for a byte-level BPE tokenizer file.
+
+    A state is what is open where the text was left: nothing; a run of letters, numbers
+    or other signs with the state of its bytes; white space, whose last character may
+    yet belong to what follows; or an apostrophe that may become a contraction. Each
+    transition emits the change of the count, as if the text ended there.
+    """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -184,6 +204,56 @@ class TextTransducer:
         """Tokens of a text, pre-token by pre-token."""
         return sum(self.bpe.count(p.encode()) for p in self.split.findall(text))
 
+    def run(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """(state after ``text``, tokens emitted): the transducer itself, from any state."""
+        total, bpe = 0, self.bpe
+        for m in _RUNS.finditer(text):
+            kind, part = m.lastgroup, m[0]
+            # An apostrophe that began a pre-token, and the letter after it, may be a contraction.
+            while state[0] == "quote" and kind == "letter" and part:
+                pending = state[1] + part[0]
+                if pending in _CONTRACTIONS:
+                    total += bpe.count(pending.encode()) - len(state[1])
+                    state, part = START, part[1:]
+                elif pending in _HALF:
+                    state, part = ("quote", pending), part[1:]
+                    total += 1
+                else:
+                    state = ("letter", bpe.run(0, state[1][1:].encode())[0]) if len(state[1]) > 1 else START
+            if not part:
+                continue
+            if state[0] == "quote":
+                state = ("other", bpe.run(0, b"'")[0]) if state[1] == "'" else ("letter", bpe.run(0, state[1][1:].encode())[0])
+            if kind == "space":
+                own, before = (state[1], state[2]) if state[0] == "space" else (0, 0)
+                for c in part:
+                    own, before = bpe.run(own, c.encode())
+                    total += before
+                state = ("space", own, before, part[-1])
+                continue
+            at = 0
+            if state[0] == "space":
+                # All but the last character were a pre-token; that one is a space before this run, or alone.
+                total -= state[2]
+                if state[3] == " ":
+                    at, emitted = bpe.run(0, b" ")
+                    total += emitted
+                    state = (kind, at)
+                else:
+                    total += bpe.count(state[3].encode())
+                    state = START
+            if state[0] == kind:
+                at = state[1]
+            elif kind == "other" and part[0] == "'":
+                if part == "'":
+                    state = ("quote", "'")
+                    total += 1
+                    continue
+            at, emitted = bpe.run(at, part.encode())
+            total += emitted
+            state = (kind, at)
+        return state, total
+
     def _learn(self, atom: bytes) -> int | None:
         """Composite transition of an atom after a space; None where its ends don't bound pre-tokens."""
         text = atom.decode()
@@ -200,7 +270,7 @@ class TextTransducer:
         return self.pre_tokens(text) if line else self.pre_tokens(" " + text)
 
     def plain(self, part: bytes) -> int:
-        """Tokens of a part without special strings."""
+        """Tokens of a part of at most some chunks, without special strings."""
         # A line feed becomes an atom's first character, so that lines needn't be split apart.
         atoms = part.replace(b"\n", b" \n").split(b" ")
         first = atoms[0]
@@ -219,79 +289,85 @@ class TextTransducer:
                     memo.clear()
                     self.words.clear()
                     self.bpe.trim()
-                for a in set(rest):
-                    if a not in memo:
-                        memo[a] = self._learn(a)
-                return total + sum(map(memo.__getitem__, rest))
+                long: dict[bytes, int | None] = {}
+                for a in set(rest).difference(memo):
+                    (memo if len(a) <= LONG_ATOM else long)[a] = self._learn(a)
+                return total + (sum(long[a] if a in long else memo[a] for a in rest) if long else sum(map(memo.__getitem__, rest)))
         except TypeError:  # runs of white space: pre-tokens reach over atoms
             return self.pre_tokens(part.decode())
 
     def count(self, text: bytes) -> int:
         parts = self.special_split.split(text) if self.special_split and any(s in text for s in self.special) else [text]
-        total = len(parts) - 1
-        for p in parts:
-            total += self.plain(p) if len(p) <= CHUNK else scan([self.chunk(p[a : a + CHUNK]) for a in range(0, len(p), CHUNK)], self)[-1].closed(self)
-        return total
-
-    # Chunks of long texts: maps from the fragment open on entry to the one open on exit.
-    def chunk(self, data: bytes) -> ChunkMap:
-        bounds = _BOUND.search(data)
-        if not bounds:
-            return ChunkMap(data, None, None)
-        last = bounds
-        for last in _BOUND.finditer(data, max(bounds.start(), len(data) - 4096)):
-            pass
-        a, b = bounds.start() + 1, last.start() + 1
-        return ChunkMap(data[:a], self.plain(data[a:b]) if b > a else 0, data[b:])
+        return len(parts) - 1 + sum(self.plain(p) if len(p) <= CHUNK else scan(self.chunks(p), self)(START, self)[1] for p in parts)
+
+    def chunks(self, data: bytes) -> list[ChunkMap]:
+        """Maps of the chunks of a long text, which end between characters."""
+        out, at = [], 0
+        while at < len(data):
+            end = at + CHUNK
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end += 1
+            out.append(self.chunk(data[at:end].decode()))
+            self.bpe.trim_long()
+            at = end
+        return out
+
+    def chunk(self, text: str) -> ChunkMap:
+        first = _BOUND.search(text)
+        if not first:
+            return ChunkMap([text], None, 0)
+        a = b = first.start()
+        for w in (256, 4096, len(text)):
+            for last in _BOUND.finditer(text, max(a, len(text) - w)):
+                b = last.start()
+            if b > a:
+                break
+        state, emitted = self.run(START, text[b:])
+        return ChunkMap([text[:a]] if a else [], state, (self.plain(text[a:b].encode()) if b > a else 0) + emitted)
 
 
-#: A pre-token surely starts at this space: ASCII that is no white space on both sides.
-_BOUND = regex.compile(rb"[!-~](?= [!-~])")
+START = ("start",)
+_CONTRACTIONS = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
+_HALF = frozenset(["'r", "'v", "'l"])
+_RUNS = regex.compile(r"(?P<letter>\p{L}+)|(?P<number>\p{N}+)|(?P<other>[^\s\p{L}\p{N}]+)|(?P<space>\s+)")
+#: A pre-token surely starts here, whatever went before: the kind of sign changes (a letter after an apostrophe may be a contraction's).
+_BOUND = regex.compile(r"(?<=\S)\s|(?<=\p{L})[^\s\p{L}]|(?<=\p{N})[^\s\p{N}]|(?<=[^\s\p{L}\p{N}])\p{N}|(?<=[^\s\p{L}\p{N}'])\p{L}")
 
 
 class ChunkMap:
-    """Effect of a chunk: its head closes the fragment open on entry, its tail stays open on exit.
+    """A chunk as a map from the state on entry to (the state on exit, tokens emitted).
 
-    ``count`` is None where no pre-token surely starts inside; then all of the chunk is open.
+    From the chunk's first sure start of a pre-token on, the entry no longer matters:
+    ``state`` and ``count`` hold for all entries, and only ``head``, what lies before,
+    is run from the state that comes in. Without such a start all of it is head
+    (``state`` None). Heads are kept as lists, so that joining copies no text.
     """
 
-    __slots__ = ("head", "count", "tail")
+    __slots__ = ("head", "state", "count")
+
+    def __init__(self, head: list[str], state: tuple | None, count: int) -> None:
+        self.head, self.state, self.count = head, state, count
 
-    def __init__(self, head: bytes, count: int | None, tail: bytes | None) -> None:
-        self.head, self.count, self.tail = head, count, tail
+    def __call__(self, entry: tuple, machine: TextTransducer) -> tuple[tuple, int]:
+        total = 0
+        for text in self.head:
+            entry, emitted = machine.run(entry, text)
+            total += emitted
+        return (entry, total) if self.state is None else (self.state, total + self.count)
 
     def then(self, other: ChunkMap, machine: TextTransducer) -> ChunkMap:
-        """The map of both chunks in a row; associative."""
-        if self.count is None:
-            joined = machine.chunk(self.head + other.head)
-            if other.count is None:
-                return joined
-            if joined.count is None:
-                return ChunkMap(joined.head, other.count, other.tail)
-            return ChunkMap(joined.head, joined.count + machine.plain(joined.tail) + other.count, other.tail)
-        seam = machine.chunk(self.tail + other.head)
-        if other.count is not None:
-            return ChunkMap(self.head, self.count + seam.closed(machine) + other.count, other.tail)
-        if seam.count is None:
-            return ChunkMap(self.head, self.count, seam.head)
-        return ChunkMap(self.head, self.count + machine.plain(seam.head) + seam.count, seam.tail)
-
-    def closed(self, machine: TextTransducer) -> int:
-        """Tokens when nothing is open on entry and the text ends here."""
-        if self.count is None:
-            return machine.plain(self.head) if self.head else 0
-        return machine.plain(self.head) + self.count + (machine.plain(self.tail) if self.tail else 0)
-
-
-def scan(maps: list[ChunkMap], machine: TextTransducer) -> list[ChunkMap]:
-    """Inclusive prefix scan by recursive pairing: a logarithmic number of rounds of independent compositions."""
-    if len(maps) < 2:
-        return maps
-    pairs = scan([a.then(b, machine) for a, b in zip(maps[::2], maps[1::2])], machine)
-    out = [maps[0]]
-    for i in range(1, len(maps)):
-        out.append(pairs[i // 2] if i % 2 else pairs[i // 2 - 1].then(maps[i], machine))
-    return out
+        """The map of both chunks in a row; associative. ``other``'s head is run where the state it meets is known, so once."""
+        if self.state is None:
+            return ChunkMap(self.head + other.head, other.state, other.count)
+        state, emitted = other(self.state, machine)
+        return ChunkMap(self.head, state, self.count + emitted)
+
+
+def scan(maps: list[ChunkMap], machine: TextTransducer) -> ChunkMap:
+    """Composition of all maps by pairs: a logarithmic number of rounds of independent compositions, linear work."""
+    while len(maps) > 1:
+        maps = [a.then(b, machine) for a, b in zip(maps[::2], maps[1::2])] + maps[len(maps) & ~1 :]
+    return maps[0]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -41,13 +42,40 @@ def test_any_chunking_gives_the_same_count(machine, library, monkeypatch, size):
         assert machine.count(s.encode()) == library(s), s
 
 
-def test_scan_gives_running_counts_and_composition_is_associative(machine):
-    data = ("one two three. four, five\nsix " * 40).encode()
-    maps = [machine.chunk(data[a : a + 37]) for a in range(0, len(data), 37)]
-    for k, m in enumerate(scan(maps, machine), 1):
-        assert m.closed(machine) == machine.count(data[: 37 * k])
+def test_the_transducer_itself(machine, library):
+    for s in ODD + mixed(1500, 4) + ["'", "''s", "a'", "a'r", "a're", "a'rex", "'ll'l", "x'S", "don't've", " 's", "\u3000's", "'l l", "1'd2", "''ve"]:
+        if "<|endoftext|>" not in s:
+            state, n = machine.run(token_counts.START, s)
+            assert n == library(s), s
+            for k in range(len(s)):
+                middle, a = machine.run(token_counts.START, s[:k])
+                end, b = machine.run(middle, s[k:])
+                assert (end, a + b) == (state, n), (s, k)
+
+
+def test_composition_is_associative_and_gives_every_prefix(machine):
+    text = "one two three. four, don't\nsix  日本語テスト 7x'll " * 40
+    maps = [machine.chunk(text[a : a + 37]) for a in range(0, len(text), 37)]
+    for k in range(1, len(maps) + 1):
+        assert scan(maps[:k], machine)(token_counts.START, machine)[1] == machine.run(token_counts.START, text[: 37 * k])[1]
     a, b, c = maps[:3]
-    assert a.then(b, machine).then(c, machine).closed(machine) == a.then(b.then(c, machine), machine).closed(machine)
+    left, right = a.then(b, machine).then(c, machine), a.then(b.then(c, machine), machine)
+    for entry in {machine.run(token_counts.START, text[:k])[0] for k in range(60)}:
+        assert left(entry, machine) == right(entry, machine)
+
+
+@pytest.mark.parametrize("make", [lambda n: "слово и дело, " * (n // 14), lambda n: "日本語の文章は続く" * (n // 9), lambda n: "abcxyz" * (n // 6), lambda n: "\n \t" * (n // 3), lambda n: "a\u00a0б\u3000" * (n // 4), lambda n: "'" * n])
+def test_very_long_texts_take_linear_time(machine, library, make):
+    text = make(600_000)
+    assert machine.count(text[:150_000].encode()) == library(text[:150_000])
+    began = time.time()
+    machine.count(text.encode())
+    short = time.time() - began
+    began = time.time()
+    machine.count((text * 4).encode())
+    assert time.time() - began < 10 * short + 1
+    if "日" not in text and "'" not in text and "abc" not in text:  # the library itself is slow on these
+        assert machine.count(text.encode()) == library(text)
 
 
 def test_forgetting_states_changes_nothing(library, monkeypatch):
