@@ -355,12 +355,13 @@ def prefixes(returned: DataFrame, percent: int, tasks: int) -> DataFrame:
 
 
 def classes_of(sets: DataFrame, copies: DataFrame) -> DataFrame:
-    """Per class: its smallest key ``rep``, its ``docs``, ``keys``, size, and the group, whether it ``leads`` it, and in how many blocks (``blocks``) the group is dealt."""
+    """Per class: its smallest key ``rep``, its ``docs``, size, group, whether it ``leads`` it, the group's ``members``, its ``blocks`` and their ``weight``, and its own block (``atom``)."""
     small = sets.select("class_id", "group_id", "n", "n_shared", "key").join(copies.select("key", "copies"), "key")
-    classes = small.groupBy("class_id").agg(F.min("key").alias("rep"), F.sum("copies").alias("docs"), F.count("*").alias("keys"), *(F.min(c).alias(c) for c in ("group_id", "n", "n_shared")))
+    classes = small.groupBy("class_id").agg(F.min("key").alias("rep"), F.sum("copies").alias("docs"), *(F.min(c).alias(c) for c in ("group_id", "n", "n_shared")))
     weight = 1 + F.floor(F.col("n_shared") / WEIGHT)
     groups = classes.groupBy("group_id").agg(F.count("*").alias("members"), F.ceil(F.sum(weight) / ATOM).cast("int").alias("blocks"), F.sum(weight).alias("of_group"), F.min("rep").alias("first"))
-    return classes.join(groups, "group_id").select("class_id", "rep", "docs", "keys", "n", "n_shared", "group_id", (F.col("rep") == F.col("first")).alias("leads"), "blocks", "members", (F.col("of_group") / F.col("blocks")).alias("weight"))
+    own = atom(F.col("group_id"), F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    return classes.join(groups, "group_id").select("class_id", "rep", "docs", "n", "n_shared", "group_id", (F.col("rep") == F.col("first")).alias("leads"), "blocks", "members", (F.col("of_group") / F.col("blocks")).alias("weight"), own.alias("atom"))
 
 
 def atom(group: Column, block: Column) -> Column:
@@ -380,29 +381,43 @@ def _exploded(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return of, token, before, n, batch.column(2).to_numpy()[of] - at
 
 
-def index_filter(leads: DataFrame, percent: int, expected: int) -> np.ndarray:
+class Leads:
+    """Tells which sets may lead their group; all leads pass, and few others. Both filters are small where few groups have several classes."""
+
+    def __init__(self, classes: DataFrame) -> None:
+        several = classes.where("leads and members > 1").select("group_id")
+        self.several = bit_filter(several, several.count())
+        first = classes.where(F.col("leads") & maybe_in(F.col("group_id"), self.several)).select("rep")
+        self.first = bit_filter(first, first.count())
+
+    def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of (group_id, n, n_shared, prefix, key) that may lead."""
+        return batch.filter(pa.array(~in_filter(batch.column(0).to_numpy(), self.several) | in_filter(batch.column(4).to_numpy(), self.first)))
+
+
+def index_filter(sets: DataFrame, leads: Leads, percent: int, expected: int) -> np.ndarray:
     """Shingles that can be a pair's first common one in its smaller set, whose prefix is shorter: few sets have any."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, token, _, n, rest = _exploded(batch)
+            _, token, _, n, rest = _exploded(leads.of(batch))
             yield pa.RecordBatch.from_arrays([pa.array(token[(100 + percent) * rest >= 2 * percent * n])], names=["token"])
 
-    return bit_filter(leads.select("group_id", "n", "n_shared", "prefix").mapInArrow(tokens, "token long"), expected)
+    return bit_filter(sets.select("group_id", "n", "n_shared", "prefix", "key").mapInArrow(tokens, "token long"), expected)
 
 
-def postings(leads: DataFrame, index: np.ndarray) -> DataFrame:
-    """Prefix shingles that some set may have in its index prefix: group_id, n, token, before, rest, blocks, weight."""
-    names = ["group_id", "n", "token", "before", "rest", "blocks", "weight"]
+def postings(sets: DataFrame, leads: Leads, index: np.ndarray) -> DataFrame:
+    """Prefix shingles that some set may have in its index prefix: group_id, n, token, before, rest (a few of them twice)."""
+    names = ["group_id", "n", "token", "before", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch = leads.of(whole)
             of, token, before, n, rest = _exploded(batch)
             keep = np.flatnonzero(in_filter(token, index))
-            row = pa.array(of[keep])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *(pa.array(x[keep]) for x in (n, token, before, rest)), batch.column(4).take(row), batch.column(5).take(row)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[keep])), *(pa.array(x[keep]) for x in (n, token, before, rest))], names=names)
 
-    return leads.select("group_id", "n", "n_shared", "prefix", "blocks", "weight").mapInArrow(run, "group_id long, n long, token long, before long, rest long, blocks int, weight double")
+    return sets.select("group_id", "n", "n_shared", "prefix", "key").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def group_pairs(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
@@ -416,14 +431,15 @@ def group_pairs(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame
         & ((F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1))
         & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
         & ((100 + percent) * F.least("a.rest", "b.rest") >= percent * (F.col("a.n") + F.col("b.n"))),
-    ).select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("group_id", "blocks", "weight"))).distinct()
+    ).select(F.col("a.group_id").alias("group_id_a"), F.col("b.group_id").alias("group_id_b")).distinct()
 
 
 def atom_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """Group pairs, and every group of several classes beside itself, as pairs of their blocks: a, b, and the pair's work."""
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     weight = lambda s: F.col(f"weight_{s}").alias(f"weight_{s}")
-    apart = groups.withColumn("i", numbers("blocks_a")).withColumn("j", numbers("blocks_b"))
+    of = lambda s: classes.where("leads").select(*(F.col(c).alias(f"{c}_{s}") for c in ("group_id", "blocks", "weight")))
+    apart = groups.join(of("a"), "group_id_a").join(of("b"), "group_id_b").withColumn("i", numbers("blocks_a")).withColumn("j", numbers("blocks_b"))
     apart = apart.select(atom(F.col("group_id_a"), F.col("i")).alias("a"), atom(F.col("group_id_b"), F.col("j")).alias("b"), weight("a"), weight("b"))
     # Inside a group all pairs are candidates: same prefix, same size.
     alone = classes.where("leads and members > 1").select("group_id", "blocks", F.col("weight").alias("weight_a"), F.col("weight").alias("weight_b")).withColumn("i", numbers("blocks"))
@@ -442,7 +458,7 @@ def pair_cells(pairs: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     return placed, placed.select("ship_to", F.col("a").alias("atom")).union(placed.select("ship_to", F.col("b").alias("atom"))).distinct()
 
 
-def frequent_cells(rows: DataFrame, frequent: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def frequent_cells(rows: DataFrame, frequent: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Shingles of very many groups, whose pairs are never listed: cells (ship_to, token, alone) and what goes there (ship_to, atom, before, half).
 
     A shingle's groups are told apart by size class (only neighbours can link) and by
@@ -450,7 +466,7 @@ def frequent_cells(rows: DataFrame, frequent: DataFrame, percent: int) -> tuple[
     there already. What is left is dealt to strips of weight ``SIDE``; a cell is two
     strips, or one and itself.
     """
-    met = rows.join(frequent.select("token"), "token")
+    met = rows.join(frequent.select("token"), "token").select("token", "group_id", "n", "before").distinct().join(classes.where("leads").select("group_id", "blocks", "weight"), "group_id")
     spread = met.withColumn("atom", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: atom(F.col("group_id"), k))))
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
     spread = spread.select("token", level.alias("level"), "before", "atom", "weight")
@@ -519,9 +535,12 @@ class _Cell:
         return self.parent
 
 
-def verified_cells(reps: DataFrame, sent: DataFrame, work: DataFrame, percent: int, tasks: int) -> DataFrame:
+def verified_cells(sets: DataFrame, sent: DataFrame, work: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Per cell and class with links there: ``rep``, ``others`` (documents of the classes linked), ``root`` (a class of its component)."""
-    shipped = reps.select("atom", "group_id", "key", "n", "docs", "frequent", "shared").join(sent, "atom")
+    # Sets that no pair needs are left where they are.
+    reps = sent.select("rep").distinct()
+    used = sets.select("key", "shared").where(maybe_in(F.col("key"), bit_filter(reps, reps.count())))
+    shipped = used.join(sent, F.col("key") == F.col("rep")).drop("rep")
     schema = pa.schema([("rep", pa.int64()), ("others", pa.int64()), ("root", pa.int64())])
 
     def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -585,12 +604,9 @@ def linked_classes(sets: DataFrame, copies: DataFrame, percent: int, frequent_at
     """(classes, links): ``links`` has rep, others, root, from every cell (a written table)."""
     cores = sets.sparkSession.sparkContext.defaultParallelism
     classes = written(classes_of(sets, copies), "classes")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    told = classes.select("rep", "docs", "leads", "blocks", "weight", atom(F.col("group_id"), block).alias("atom"))
-    reps = written(sets.select("key", "n", "n_shared", "group_id", "prefix", "shared").join(told, F.col("key") == F.col("rep")).withColumn("prefix", F.when(F.col("leads"), F.col("prefix"))).drop("rep"), "classes")
-    leads = reps.where("leads")
     shared = classes.where("leads").agg(F.sum("n_shared")).first()[0] or 0
-    rows = written(postings(leads, index_filter(leads, percent, shared // 4)), "postings")
+    leads = Leads(classes)
+    rows = written(postings(sets, leads, index_filter(sets, leads, percent, shared // 4)), "postings")
     frequent = written(rows.groupBy("token").count().where(F.col("count") > frequent_at), "frequent")
     pairs = written(atom_pairs(group_pairs(rows, frequent, percent), classes), "pairs")
     listed = pairs.agg(F.sum(F.col("weight_a") * F.col("weight_b"))).first()[0] or 0.0
@@ -598,23 +614,23 @@ def linked_classes(sets: DataFrame, copies: DataFrame, percent: int, frequent_at
     work, sent = pair_cells(pairs, tasks)
     work = work.select("ship_to", "a", "b", F.lit(None).cast("long").alias("token"), F.lit(None).cast("boolean").alias("alone"))
     sent = sent.select("ship_to", "atom", F.lit(None).cast("long").alias("before"), F.lit(None).cast("int").alias("half"))
-    none = F.lit(None).cast("array<long>")
+    told = classes.select("rep", "docs", "n", "group_id", "atom")
+    spent = [rows, frequent, pairs]
     if frequent.isEmpty():
-        told_reps, cells = reps.withColumn("frequent", none), None
+        told = told.withColumn("frequent", F.lit(None).cast("array<long>"))
     else:
-        cells, goods = frequent_cells(rows, frequent, percent)
+        cells, goods = frequent_cells(rows, frequent, classes, percent)
         cells, goods = written(cells, "cells"), written(goods, "cells")
+        spent += [cells, goods]
         tasks += min(cells.count(), max(cores, goods.count() // 20_000))
         work = work.union(cells.select("ship_to", F.lit(None).cast("long"), F.lit(None).cast("long"), "token", "alone"))
         sent = sent.union(goods)
         # A group's frequent shingles are no more than its prefix.
-        of_group = rows.join(frequent.select("token"), "token").groupBy(F.col("group_id").alias("g")).agg(F.collect_list("token").alias("frequent"))
-        told_reps = reps.join(of_group, F.col("group_id") == F.col("g"), "left")
-    # Classes that no pair needs are left where they are.
-    ends = sent.select("atom").distinct()
-    used = told_reps.where(maybe_in(F.col("atom"), bit_filter(ends, ends.count())))
-    links = written(verified_cells(used, sent, work, percent, tasks), "links")
-    for t in (reps, rows, frequent, pairs, *((cells, goods) if cells is not None else ())):
+        of_group = rows.join(frequent.select("token"), "token").groupBy(F.col("group_id").alias("g")).agg(F.collect_set("token").alias("frequent"))
+        told = told.join(of_group, F.col("group_id") == F.col("g"), "left").drop("g")
+    sent = written(sent.join(told, "atom"), "sent")
+    links = written(verified_cells(sets, sent, work, percent, tasks), "links")
+    for t in (*spent, sent):
         drop_written(t)
     return classes, links
 

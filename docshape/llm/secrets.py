@@ -33,8 +33,10 @@ KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
+#: Characters of the shortest token that the chains judge.
+LEAST = 12
 #: Tokens that the chains judge: whole runs of these, not beside other letters or digits.
-_TOKEN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{16,}(?![\w+/=-])")
+_TOKEN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{12,}(?![\w+/=-])")
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(256, -1, np.int64)
 _CODE[np.frombuffer(_SYMBOLS.encode(), np.uint8)] = np.arange(len(_SYMBOLS))
@@ -87,7 +89,7 @@ _WORDS = (
     "access account action active address agent array async auth backup balance base batch binary block body buffer build button cache call card channel char check child class click client close cluster code color column command commit config connect console const content context control cookie copy count create current cursor data date debug default delete depth detail device dialog digest disk document domain download driver edge element email enable encode engine entity error event export factory feature field file filter find first flag folder font format frame function gateway global graph group handler hash header height hidden host image import index info init input insert instance item job join key label language last layer layout length level library limit line link list load local location lock log login loop main manager map mask match max memory menu merge message method min mode model module mount name next node note null number object offset open option order output owner package page panel param parent parse part password path pattern pending person phone pixel player point policy pool port position post prefix print process product profile project property proxy public query queue random range rate reader record region register release remote remove render reply report request reset resource response result return role root route row rule sample save scan schema scope score screen script search section select sender server service session shared signal simple size socket sort source space stack start state status step storage stream string style submit suffix support switch system table tag target task template term test text thread time title token tool total track transaction tree trigger type union unit update upload user util value vector version video view visible wait watch width window worker write zone"
 ).split()
 #: Syllables of ordinary prose in several languages: words may be long without being random.
-_SYLLABLES = "the er in on an re ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ing ion tion ent ment ance able ness ship der die und sch ein ich lich keit heit ung ver ber gen zu auf ge be ach tz pf que eau eux aux oi ou ai pa vi tre elle aire eur con com pro ado ción dad mente ar er ir os as lo la el es ue ra ro co ca bo za ja ll rr ez ia to ta te ti".split()
+_SYLLABLES = "the er in on an re ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ing ion tion ent ment ance able ness ship der die und sch ein ich lich keit heit ung ver ber gen zu auf ge be ach tz pf que eau eux aux oi ou ai pa vi tre elle aire eur con com pro ado ción dad mente ar er ir os as lo la el es ue ra ro co ca bo za ja ll rr ez ia to ta te ti wh sh ch st ly th ng ck is ff ss tt ous ful ght str ph sch qu oo ee ea ai".split()
 
 
 @lru_cache(maxsize=4)
@@ -97,7 +99,7 @@ def labelled_samples(n: int = 40_000, seed: int = 7) -> tuple[tuple[str, int], .
     alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", _SYMBOLS[:62], _SYMBOLS[:62] + "+/", _SYMBOLS[:62] + "_-"]
     out: list[tuple[str, int]] = []
     for i in range(n // 2):
-        out.append(("".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(16, 48))), 1))
+        out.append(("".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(LEAST, 48))), 1))
         parts = rng.choices(_WORDS, k=rng.randint(2, 5))
         shape = rng.randrange(7)
         if shape == 0:
@@ -135,7 +137,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str, model: SecretModel, memo: dict[str, bool] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans and the spans that the method adds, each sorted."""
     base, added = base_spans(text), []
-    long = [w for w in text.split() if len(w) >= 16]
+    long = [w for w in text.split() if len(w) >= LEAST]
     at = 0
     for w in long:  # hex runs and judged tokens hold no white space, so they lie in long words
         at = text.index(w, at)
