@@ -190,12 +190,12 @@ def document_sets(docs: DataFrame, size: int, block: int, hot_least: int, seed:
     return docs.mapInArrow(run, "kind int, doc_id long, key long, n long, check long")
 
 
-_ROWS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("dfs", pa.binary())])
-_ROWS_DDL = "bucket long, keys binary, counts binary, tokens binary, dfs binary"
+_ROWS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("dfs", pa.binary())])
+_ROWS_DDL = "bucket int, keys binary, counts binary, tokens binary, dfs binary"
 
 
 def bucketed_shingles(docs: DataFrame, size: int, block: int, hot: np.ndarray, buckets: int, parts: int, seed: int) -> DataFrame:
-    """Per block and bucket its sets' shingles; at ``buckets`` + part, the sets' sizes and hot shingles (as ranks)."""
+    """Per block and bucket its sets' shingles; above ``buckets``, by part, the sets' sizes and hot shingles (as ranks)."""
     by_value = np.argsort(hot)
     sorted_hot = hot[by_value]
 
@@ -224,12 +224,17 @@ def bucketed_shingles(docs: DataFrame, size: int, block: int, hot: np.ndarray, b
             for p in np.unique(part):
                 of = np.flatnonzero(part == p)
                 ranks = np.concatenate([rank[ends[i] - n_hot[i] : ends[i]] for i in of])
-                rows.append((buckets + int(p), key[of].tobytes(), _pack_counts(n_hot[of]), ranks.astype("<u2").tobytes(), lengths[of].astype("<u4").tobytes()))
+                rows.append((buckets + int(p) % sizes_at(buckets), key[of].tobytes(), _pack_counts(n_hot[of]), ranks.astype("<u2").tobytes(), lengths[of].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
     return docs.mapInArrow(run, _ROWS_DDL)
 
 
+def sizes_at(buckets: int) -> int:
+    """Numbers above ``buckets`` that rows of sizes, which only pass through, are dealt to."""
+    return max(1, buckets // 4)
+
+
 def _joined(table: pa.Table, name: str) -> list[bytes]:
     return table.column(name).to_pylist()
 
@@ -240,7 +245,7 @@ def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataF
     def run(key: tuple, table: pa.Table) -> pa.Table:
         b = key[0].as_py()
         if b >= buckets:
-            rows = [(b - buckets, -1, *r) for r in zip(*(_joined(table, c) for c in ("keys", "counts", "tokens", "dfs")))]
+            rows = [(int(np.frombuffer(r[0], np.int64, 1)[0] % parts), -1, *r) for r in zip(*(_joined(table, c) for c in ("keys", "counts", "tokens", "dfs")))]
             return _table(rows)
         held("jaccard")
         keys = [np.frombuffer(k, np.int64) for k in _joined(table, "keys")]
@@ -294,10 +299,11 @@ def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataF
 
     def _table(rows: list[tuple]) -> pa.Table:
         columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
+        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "bucket", "keys", "counts", "tokens", "dfs"])
 
-    return bucket_rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "part long, bucket long, keys binary, counts binary, tokens binary, dfs binary")
+    # A task for each bucket, so that none has two.
+    return bucket_rows.repartitionById(buckets + sizes_at(buckets), F.col("bucket")).groupBy("bucket").applyInArrow(run, "part int, bucket long, keys binary, counts binary, tokens binary, dfs binary")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -305,7 +311,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefixes(returned: DataFrame, percent: int, tasks: int) -> DataFrame:
+def prefixes(returned: DataFrame, percent: int, parts: int) -> DataFrame:
     """Per set with a shared shingle in its prefix: key, n, n_shared, its group and class, prefix and all its shared shingles (``shared``).
 
     Sets of one class have the same shared shingles and size, so all of them meet any other set alike.
@@ -351,7 +357,7 @@ def prefixes(returned: DataFrame, percent: int, tasks: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "n", "n_shared", "group_id", "class_id", "prefix", "shared"])
 
-    return returned.repartition(tasks, "part").groupBy("part").applyInArrow(run, "key long, n long, n_shared long, group_id long, class_id binary, prefix array<long>, shared binary")
+    return returned.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(run, "key long, n long, n_shared long, group_id long, class_id binary, prefix array<long>, shared binary")
 
 
 def classes_of(sets: DataFrame, copies: DataFrame) -> DataFrame:
@@ -659,7 +665,7 @@ def similar_documents(docs: DataFrame, *, size: int = 2, percent: int = 60, id_c
     buckets = max(1, -(-total // bucket), busy)
     parts = 3 * buckets
     returned = count_frequencies(bucketed_shingles(own, size, block, hot, buckets, parts, seed), buckets, parts)
-    sets = written(prefixes(returned, percent, buckets), "prefixes")
+    sets = written(prefixes(returned, percent, parts), "prefixes")
     classes, links = linked_classes(sets, copies, percent, frequent)
 
     met = written(links.groupBy("rep").agg(F.sum("others").alias("others")).join(connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep"), "rep", "left"), "met")
