@@ -45,6 +45,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -60,6 +61,8 @@ from docshape.llm.components import connected_components
 HOT, HOT_SHARE, HOT_LEAST = 65_536, 1 / 512, 8
 #: Shingles of a block; of a bucket, about; entries of the word memo.
 BLOCK, BUCKET, MEMO = 750_000, 6_000_000, 250_000
+#: Rows of (class, cell), of about 60 bytes, that are sent to all tasks at most.
+FEW = 200_000
 #: Groups of a prefix shingle beyond which its pairs aren't listed but dealt to a grid of cells.
 FREQUENT = 1000
 #: A class weighs one, and one more for so many shared shingles. Weight of a block of a group's members, of a cell's side, and (squared) of a task's pairs.
@@ -195,7 +198,7 @@ _ROWS_DDL = "bucket int, keys binary, counts binary, tokens binary, dfs binary"
 
 
 def bucketed_shingles(docs: DataFrame, size: int, block: int, hot: np.ndarray, buckets: int, parts: int, seed: int) -> DataFrame:
-    """Per block and bucket its sets' shingles; above ``buckets``, by part, the sets' sizes and hot shingles (as ranks)."""
+    """Per block and bucket its sets' shingles; above ``buckets``, by part, the sets' sizes, copies and hot shingles (as ranks)."""
     by_value = np.argsort(hot)
     sorted_hot = hot[by_value]
 
@@ -205,6 +208,8 @@ def bucketed_shingles(docs: DataFrame, size: int, block: int, hot: np.ndarray, b
             if not own:
                 continue
             lengths = np.array([len(s) for s in own])
+            number = Counter(keys)
+            copies = np.array([number[k] for k in key.tolist()])
             token, owner = np.concatenate(own), np.repeat(np.arange(len(own)), lengths)
             at = np.minimum(np.searchsorted(sorted_hot, token), max(0, len(sorted_hot) - 1))
             is_hot = sorted_hot[at] == token if len(sorted_hot) else np.zeros(len(token), bool)
@@ -224,7 +229,7 @@ def bucketed_shingles(docs: DataFrame, size: int, block: int, hot: np.ndarray, b
             for p in np.unique(part):
                 of = np.flatnonzero(part == p)
                 ranks = np.concatenate([rank[ends[i] - n_hot[i] : ends[i]] for i in of])
-                rows.append((buckets + int(p) % sizes_at(buckets), key[of].tobytes(), _pack_counts(n_hot[of]), ranks.astype("<u2").tobytes(), lengths[of].astype("<u4").tobytes()))
+                rows.append((buckets + int(p) % sizes_at(buckets), key[of].tobytes(), _pack_counts(n_hot[of]), ranks.astype("<u2").tobytes(), np.stack((lengths[of], copies[of])).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
     return docs.mapInArrow(run, _ROWS_DDL)
@@ -312,19 +317,22 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefixes(returned: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Per set with a shared shingle in its prefix: key, n, n_shared, its group and class, prefix and all its shared shingles (``shared``).
+    """Per set with a shared shingle in its prefix: key, copies, n, n_shared, its group and class, prefix and all its shared shingles (``shared``).
 
     Sets of one class have the same shared shingles and size, so all of them meet any other set alike.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        owners, tokens, dfs, sizes = [], [], [], {}
+        owners, tokens, dfs, sizes, copies = [], [], [], {}, {}
         for b, k, c, t, d in zip(*(_joined(table, x) for x in ("bucket", "keys", "counts", "tokens", "dfs"))):
             k = np.frombuffer(k, np.int64)
             c = _unpack_counts(c, len(k))
             owners.append(np.repeat(k, c))
             if b < 0:
-                sizes.update(zip(k.tolist(), np.frombuffer(d, "<u4").tolist()))
+                length, number = np.frombuffer(d, "<u4").reshape(2, -1).tolist()
+                sizes.update(zip(k.tolist(), length))
+                for own, more in zip(k.tolist(), number):
+                    copies[own] = copies.get(own, 0) + more
                 rank = np.frombuffer(t, "<u2").astype(np.uint64)
                 tokens.append(rank)
                 dfs.append(rank.astype(np.int64) + (1 << 40))  # after all others
@@ -352,18 +360,17 @@ def prefixes(returned: DataFrame, percent: int, parts: int) -> DataFrame:
                 size = n.to_bytes(8, "little")
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes() + size) - (1 << 63)
                 of_class = xxhash.xxh3_128_digest(own.tobytes() + size)
-                rows.append((k, n, int(m), group, of_class, prefix.astype(np.int64), planes(own)))
-        columns = list(zip(*rows)) if rows else [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "n", "n_shared", "group_id", "class_id", "prefix", "shared"])
+                rows.append((k, copies[k], n, int(m), group, of_class, prefix.astype(np.int64), planes(own)))
+        columns = list(zip(*rows)) if rows else [[]] * 8
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "copies", "n", "n_shared", "group_id", "class_id", "prefix", "shared"])
 
-    return returned.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(run, "key long, n long, n_shared long, group_id long, class_id binary, prefix array<long>, shared binary")
+    return returned.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(run, "key long, copies long, n long, n_shared long, group_id long, class_id binary, prefix array<long>, shared binary")
 
 
-def classes_of(sets: DataFrame, copies: DataFrame) -> DataFrame:
+def classes_of(sets: DataFrame) -> DataFrame:
     """Per class: its smallest key ``rep``, its ``docs``, size, group, whether it ``leads`` it, the group's ``members``, its ``blocks`` and their ``weight``, and its own block (``atom``)."""
-    small = sets.select("class_id", "group_id", "n", "n_shared", "key").join(copies.select("key", "copies"), "key")
-    classes = small.groupBy("class_id").agg(F.min("key").alias("rep"), F.sum("copies").alias("docs"), *(F.min(c).alias(c) for c in ("group_id", "n", "n_shared")))
+    classes = sets.groupBy("class_id").agg(F.min("key").alias("rep"), F.sum("copies").alias("docs"), *(F.min(c).alias(c) for c in ("group_id", "n", "n_shared")))
     weight = 1 + F.floor(F.col("n_shared") / WEIGHT)
     groups = classes.groupBy("group_id").agg(F.count("*").alias("members"), F.ceil(F.sum(weight) / ATOM).cast("int").alias("blocks"), F.sum(weight).alias("of_group"), F.min("rep").alias("first"))
     own = atom(F.col("group_id"), F.pmod(F.xxhash64("rep"), F.col("blocks")))
@@ -546,7 +553,8 @@ def verified_cells(sets: DataFrame, sent: DataFrame, work: DataFrame, percent: i
     # Sets that no pair needs are left where they are.
     reps = sent.select("rep").distinct()
     used = sets.select("key", "shared").where(maybe_in(F.col("key"), bit_filter(reps, reps.count())))
-    shipped = used.join(sent, F.col("key") == F.col("rep")).drop("rep")
+    # These rows are narrow: where they are few, sets go to their cells in one step.
+    shipped = used.join(F.broadcast(sent) if sent.count() <= FEW else sent, F.col("key") == F.col("rep")).drop("rep")
     schema = pa.schema([("rep", pa.int64()), ("others", pa.int64()), ("root", pa.int64())])
 
     def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -606,10 +614,10 @@ def _all_of(cell: _Cell, group: np.ndarray, before: np.ndarray, half: np.ndarray
                 cell.link(int(i), js, where, lengths, lambda j, first, i=i: (first == number) & (group[j] != group[i]) & (~np.bool_(alone) | (j > i)))
 
 
-def linked_classes(sets: DataFrame, copies: DataFrame, percent: int, frequent_at: int) -> tuple[DataFrame, DataFrame]:
+def linked_classes(sets: DataFrame, percent: int, frequent_at: int) -> tuple[DataFrame, DataFrame]:
     """(classes, links): ``links`` has rep, others, root, from every cell (a written table)."""
     cores = sets.sparkSession.sparkContext.defaultParallelism
-    classes = written(classes_of(sets, copies), "classes")
+    classes = written(classes_of(sets), "classes")
     shared = classes.where("leads").agg(F.sum("n_shared")).first()[0] or 0
     leads = Leads(classes)
     rows = written(postings(sets, leads, index_filter(sets, leads, percent, shared // 4)), "postings")
@@ -666,7 +674,7 @@ def similar_documents(docs: DataFrame, *, size: int = 2, percent: int = 60, id_c
     parts = 3 * buckets
     returned = count_frequencies(bucketed_shingles(own, size, block, hot, buckets, parts, seed), buckets, parts)
     sets = written(prefixes(returned, percent, parts), "prefixes")
-    classes, links = linked_classes(sets, copies, percent, frequent)
+    classes, links = linked_classes(sets, percent, frequent)
 
     met = written(links.groupBy("rep").agg(F.sum("others").alias("others")).join(connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep"), "rep", "left"), "met")
     # Members of a class link with each other where its shared shingles are enough for that.
