@@ -1,61 +1,79 @@
 """Toxicity from the nearest labelled examples, with evidence.
 
-Method: labelled documents are TF-IDF vectors over terms that depend on the label;
-a block-max inverted index (per term and block of examples the largest weight)
-bounds what a block can score, and blocks are scored from the highest bound down
-until none can enter the ``k`` nearest: the exact nearest examples by cosine. Their
-votes, weighted by squared cosine and class share, are mapped to probabilities by
-isotonic regression on leave-one-out votes of the examples.
-
-Terms are words and their first four and five letters (inflections share those).
-A term counts if a chi-square test ties it to the label in both halves of the
-examples; halves are told apart by the text's checksum, so copies of one text
-can't vouch for a term twice.
+Method: labelled documents are TF-IDF vectors over all their words; a block-max
+inverted index (posting lists cut into blocks of examples, each with its largest
+weight) bounds what a block can score, and blocks are scored from the highest bounds
+down until none can enter the ``k`` nearest: the exact nearest examples by cosine.
+Their votes, weighted by squared cosine and class share, are mapped to probabilities
+by isotonic regression on leave-one-out votes of the examples.
+
+Terms are words (lower-case, without punctuation at the ends); all words of the
+examples count. Words that a chi-square test ties to the label in both halves of the
+examples weigh ``BOOST`` times as much, and so do first four and five letters that it
+ties (inflections share those); halves are told apart by the text's checksum, so
+copies of one text can't vouch for a term twice.
 
 The index is fitted on at most ``sample`` labelled rows (half for each class, chosen
-by hash; a documented bound); every document is scored on its whole text in one Arrow
-map without a shuffle. Held-out rows, whose id has a checksum divisible by 5, are
+by hash; a documented bound); words are counted where the texts are, and one task
+builds the index from those counts. Every document is scored on its whole text in one
+Arrow map without a shuffle. Held-out rows, whose id has a checksum divisible by 5, are
 never learnt from; language, source and id aren't inputs of a score.
 
-Defined cases: null or empty text, or text without any such term, has the score of
-examples without a vote; labels without class or document don't count; a document
-labelled twice is toxic if any label says so; without examples of both classes all
-scores are 0; ids are passed through; repeated rows are repeated; an empty table
-gives no rows.
+Defined cases: null or empty text, or text without a word of any example, has the
+score of examples without a vote; labels without class or document don't count; a
+document labelled twice is toxic if any label says so; without examples of both
+classes all scores are 0; ids are passed through; repeated rows are repeated; an empty
+table gives no rows; other columns are ignored; very long texts are counted whole.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docshape.llm.common import texts
+from docshape.llm.common import held, texts
 
-#: Labelled rows to fit on, at most; neighbours; terms, at most; examples of a block.
-SAMPLE, NEIGHBOURS, TERMS, BLOCK = 6000, 15, 2000, 64
+#: Labelled rows to fit on, at most; neighbours; examples of a block; weight of terms tied to the label.
+SAMPLE, NEIGHBOURS, BLOCK, BOOST = 6000, 15, 64, 8.0
 #: Chi-square of a term in each half (1 % level) and documents of a half that hold it.
 CHI_SQUARE, LEAST = 6.63, 5
+#: Blocks scored at first; lists of terms in more than this share of the examples are stored as rows.
+FIRST, DENSE = 8, 1 / 8
 MEMO = 400_000
 _EDGE = ".,!?;:\"'()[]#*$%&|<>"
 
 
-def terms_of(word: bytes) -> list[str]:
-    w = word.decode().lower().strip(_EDGE)
-    return ([w] if w else []) + [f"{n}:{w[:n]}" for n in (4, 5) if len(w) > n]
+def normal(word: bytes) -> str:
+    return word.decode().lower().strip(_EDGE)
 
 
-def term_counts(text: bytes) -> Counter:
+def word_counts(text: bytes) -> Counter:
     out: Counter = Counter()
     for word, n in Counter(text.split()).items():
-        for t in terms_of(word):
+        if w := normal(word):
+            out[w] += n
+    return out
+
+
+def starts_of(word: str) -> list[str]:
+    return [f"{n}:{word[:n]}" for n in (4, 5) if len(word) > n]
+
+
+def with_starts(words: Counter) -> Counter:
+    """Word counts, and those of the words' first letters."""
+    out = Counter(words)
+    for w, n in words.items():
+        for t in starts_of(w):
             out[t] += n
     return out
 
@@ -85,86 +103,149 @@ def _telling(counted: list[Counter], labels: np.ndarray, halves: np.ndarray) ->
 
 
 class ToxicityModel:
-    """The index over the examples, and the calibration."""
+    """The examples' vectors, and the calibration; ``open`` builds the index."""
 
-    def __init__(self, ids: list[int], data: list[bytes], labels: list[int], shares: tuple[float, float], k: int = NEIGHBOURS) -> None:
-        """``shares``: of the two classes among all rows that may be learnt from."""
-        seen: dict[bytes, int] = {}
-        for i in sorted(range(len(data)), key=lambda i: (ids[i] is None, ids[i] or 0)):
-            seen.setdefault(data[i], i)
+    def __init__(self, ids: list[int], words: list[Counter], halves: list[int], labels: list[int], shares: tuple[float, float], k: int = NEIGHBOURS) -> None:
+        """``halves``: checksums of the texts; ``shares``: of the two classes among all rows that may be learnt from."""
+        seen: dict[tuple, int] = {}
+        for i in sorted(range(len(words)), key=lambda i: (ids[i] is None, ids[i] or 0)):
+            seen.setdefault((halves[i], tuple(sorted(words[i].items()))), i)
         keep = list(seen.values())
         y = np.array([labels[i] for i in keep], np.int64)
-        self.k, self.vocabulary, self.ids = k, {}, np.empty(0, np.int64)
-        self.idf = self.labels = self.vote_weight = np.empty(0)
+        self.k, self.vocabulary, self.tied, self.ids, self.name = k, {}, frozenset(), np.empty(0, np.int64), uuid.uuid4().hex
+        self.idf, self.labels, self.vote_weight, self.rare = np.empty(0), np.empty(0, np.int64), np.empty(0), 1.0
         self.knots, self.values, self.silent = np.array([0.0]), np.array([0.0]), 0.0
+        self.at, self.of, self.weight = np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.float32)
         if not len(y) or y.min() == y.max():
-            self._freeze([])
             return
-        counted = [term_counts(data[i]) for i in keep]
-        chosen = _telling(counted, y, np.array([zlib.crc32(data[i]) & 1 for i in keep]))[:TERMS]
-        self.vocabulary = {t: j for j, (_, t) in enumerate(chosen)}
-        df = Counter(t for c in counted for t in c if t in self.vocabulary)
-        self.idf = np.array([math.log((1 + len(y)) / (1 + df[t])) + 1 for _, t in chosen])
-        vectors = [self._vector({self.vocabulary[t]: n for t, n in c.items() if t in self.vocabulary}) for c in counted]
-        # Examples with the same strongest term lie together, so that blocks' bounds are sharp.
-        order = sorted((i for i in range(len(y)) if len(vectors[i][0])), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), int(y[i]), i))
+        counted = [with_starts(words[i]) for i in keep]
+        self.tied = frozenset(t for _, t in _telling(counted, y, np.array([halves[i] & 1 for i in keep])))
+        counted = [Counter({t: n for t, n in c.items() if ":" not in t or t in words[i] or t in self.tied}) for i, c in zip(keep, counted)]
+        df = Counter(t for c in counted for t in c)
+        self.vocabulary = {t: j for j, t in enumerate(sorted(df))}
+        self.rare = math.log(1 + len(y)) + 1
+        self.idf = np.array([(math.log((1 + len(y)) / (1 + df[t])) + 1) * (BOOST if t in self.tied else 1.0) for t in self.vocabulary])
+        vectors = [self._vector(np.array(sorted(self.vocabulary[t] for t in c), np.int64), c_) for c in counted for c_ in [np.array([n for _, n in sorted((self.vocabulary[t], n) for t, n in c.items())], float)]]
+        # Examples that lead with the same terms lie together, so that blocks' bounds are sharp.
+        share = np.bincount(np.concatenate([v[0] for v in vectors]), minlength=len(df)) / len(y)
+        common = share > 0.05
+
+        def place(i: int) -> tuple:
+            at, w = vectors[i]
+            strong = [t for t in at[np.argsort(-w, kind="stable")[:1]].tolist() if self.idf[t] > self.rare]
+            usual = at[common[at]]
+            return (strong, int(usual[(w[common[at]]).argmax()]) if len(usual) else -1, i)
+
+        order = sorted((i for i in range(len(y)) if len(vectors[i][0])), key=place)
         self.ids = np.array([ids[keep[i]] if ids[keep[i]] is not None else -1 for i in order], np.int64)
         self.labels = y[order]
-        weight = [shares[c] / max(1e-12, float((y == c).mean())) for c in (0, 1)]
-        self.vote_weight = np.array(weight)[self.labels] if order else np.empty(0)
-        self._freeze([vectors[i] for i in order])
-        self._calibrate([vectors[i] for i in order], y, np.array(weight), [i for i in range(len(y)) if not len(vectors[i][0])])
-
-    def _vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[t] for t in at.tolist()])) * self.idf[at] if len(at) else np.empty(0)
-        return at, w / np.sqrt((w * w).sum()) if len(at) else w
-
-    def _freeze(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.vectors = vectors
-        self.blocks = -(-len(vectors) // BLOCK)
+        weight = np.array([shares[c] / max(1e-12, float((y == c).mean())) for c in (0, 1)])
+        self.vote_weight = weight[self.labels] if order else np.empty(0)
+        lengths = np.array([len(vectors[i][0]) for i in order], np.int64)
+        self.at = np.concatenate(([0], np.cumsum(lengths)))
+        if order:
+            self.of = np.concatenate([vectors[i][0] for i in order]).astype(np.int32)
+            self.weight = np.concatenate([vectors[i][1] for i in order]).astype(np.float32)
+        self._calibrate(y, weight, [i for i in range(len(y)) if not len(vectors[i][0])])
+
+    def _vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of unit length; terms beyond the vocabulary only count for the length."""
+        idf = np.full(len(at), self.rare)
+        known = at < len(self.idf)
+        idf[known] = self.idf[at[known]]
+        w = (1 + np.log(n)) * idf
+        length = math.sqrt((w * w).sum()) if len(w) else 1.0
+        return at[known], w[known] / length
 
     def open(self) -> ToxicityModel:
         """Builds the index in the process that uses it; the stored form has the vectors only."""
-        width = self.blocks * BLOCK
-        self.weights = np.zeros((len(self.vocabulary), width), np.float32)
-        for i, (at, w) in enumerate(self.vectors):
-            self.weights[at, i] = w
-        self.block_max = self.weights.reshape(len(self.vocabulary), self.blocks, BLOCK).max(axis=2) if width else np.zeros((len(self.vocabulary), 0), np.float32)
+        size, n = len(self.vocabulary), len(self.ids)
+        self.blocks = -(-n // BLOCK)
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.at))
+        order = np.argsort(self.of, kind="stable")  # by term, examples in order
+        term, self.example, self.value = self.of[order], owner[order], self.weight[order]
+        df = np.bincount(term, minlength=size)
+        # Lists of frequent terms are rows of all blocks; the others (term, block) pieces of one list.
+        self.row = np.full(size, -1, np.int64)
+        frequent = np.flatnonzero(df > max(BLOCK, DENSE * n))
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], self.example[dense]] = self.value[dense]
+        self.row_max = self.rows.reshape(len(frequent), self.blocks, BLOCK).max(axis=2) if self.blocks else self.rows
+        term, self.example, self.value = term[~dense], self.example[~dense], self.value[~dense]
+        block = self.example // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.empty(0, np.int64)
+        self.piece_at = np.concatenate((first, [len(term)]))
+        self.piece_block = block[first]
+        self.piece_max = np.maximum.reduceat(self.value, first) if len(first) else np.empty(0, np.float32)
+        self.pieces = np.searchsorted(term[first], np.arange(size + 1))
         self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.unknown: dict[str, int] = {}
         return self
 
+    def _terms(self, word: bytes) -> tuple[int, ...]:
+        w = normal(word)
+        if not w:
+            return ()
+        own = self.vocabulary.get(w)
+        if own is None:
+            own = self.unknown.setdefault(w, len(self.vocabulary) + len(self.unknown))
+        return (own, *(self.vocabulary[t] for t in starts_of(w) if t in self.tied))
+
     def query(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        memo, words = self.memo, text.split()
+        memo, words = self.memo, Counter(text.split())
         try:
-            hits = [x for x in map(memo.__getitem__, words) if x]
+            hits = list(map(memo.__getitem__, words))
         except KeyError:
-            if len(memo) > MEMO:
+            if len(memo) + len(words) > MEMO:
                 memo.clear()
-            for w in set(words):
+                self.unknown.clear()
+            for w in words:
                 if w not in memo:
-                    memo[w] = tuple(self.vocabulary[t] for t in terms_of(w) if t in self.vocabulary)
-            hits = [x for x in map(memo.__getitem__, words) if x]
-        return self._vector(Counter(t for h in hits for t in h)) if hits else (np.empty(0, np.int64), np.empty(0))
+                    memo[w] = self._terms(w)
+            hits = list(map(memo.__getitem__, words))
+        lengths = np.fromiter(map(len, hits), np.int64, len(hits))
+        flat = np.fromiter(chain.from_iterable(hits), np.int64, int(lengths.sum()))
+        at, of = np.unique(flat, return_inverse=True)
+        return self._vector(at, np.bincount(of, weights=np.repeat(np.fromiter(words.values(), float, len(words)), lengths)))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with positive cosine (ties by place) and their cosines; exact."""
         if not len(at) or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
-        q = w.astype(np.float32)
-        bound = q @ self.block_max[at] * np.float32(1 + 1e-5)
+        q, row = w.astype(np.float32), self.row[at]
+        dense = row >= 0
+        q_rows = np.zeros(len(self.rows), np.float32)
+        q_rows[row[dense]] = q[dense]
+        a, b = self.pieces[at[~dense]], self.pieces[at[~dense] + 1]
+        piece, q_piece = _ranges(a, b), np.repeat(q[~dense], b - a)
+        block = self.piece_block[piece]
+        bound = q_rows @ self.row_max + np.bincount(block, weights=q_piece * self.piece_max[piece], minlength=self.blocks)
+        bound *= 1 + 1e-5
         order = np.argsort(-bound, kind="stable")
         best_i, best_s = np.empty(0, np.int64), np.empty(0, np.float32)
-        for a in range(0, len(order), 8):
-            some = order[a : a + 8]
-            floor = best_s[-1] if len(best_s) == self.k else np.float32(0)
+        for some in (order[:FIRST], order[FIRST:]):
+            floor = best_s[-1] if len(best_s) == self.k else 0.0
             some = some[(bound[some] > 0) & (bound[some] >= floor)]
             if not len(some):
                 break
+            place = np.full(self.blocks, -1, np.int64)
+            place[some] = np.arange(len(some))
+            use = place[block] >= 0
+            p = piece[use]
+            a, b = self.piece_at[p], self.piece_at[p + 1]
+            post = _ranges(a, b)
+            example = self.example[post]
+            local = place[example // BLOCK] * BLOCK + example % BLOCK
+            s = np.bincount(local, weights=np.repeat(q_piece[use], b - a) * self.value[post], minlength=len(some) * BLOCK)
             of = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = (q[:, None] * self.weights[at[:, None], of]).sum(axis=0)
-            ok = (s > 0) & (of != skip)
-            i, s = np.concatenate((best_i, of[ok])), np.concatenate((best_s, s[ok]))
+            if 4 * len(some) > self.blocks:
+                s = s + (q_rows @ self.rows).reshape(-1, BLOCK)[some].ravel()
+            else:
+                s = s + np.concatenate([q_rows @ self.rows[:, x * BLOCK : (x + 1) * BLOCK] for x in some])
+            ok = np.flatnonzero((s > 0) & (of != skip) & (s >= floor))
+            i, s = np.concatenate((best_i, of[ok])), np.concatenate((best_s, s[ok].astype(np.float32)))
             top = np.lexsort((i, -s))[: self.k]
             best_i, best_s = i[top], s[top]
         return best_i, best_s.astype(float)
@@ -176,9 +257,10 @@ class ToxicityModel:
         share = s * s * self.vote_weight[i]
         return float((share * self.labels[i]).sum() / share.sum()), i, s
 
-    def _calibrate(self, vectors: list, y: np.ndarray, weight: np.ndarray, silent: list[int]) -> None:
+    def _calibrate(self, y: np.ndarray, weight: np.ndarray, silent: list[int]) -> None:
         self.open()
-        votes = [(v, int(c)) for n, (x, c) in enumerate(zip(vectors, self.labels)) if (v := self.vote(*x, skip=n)[0]) is not None]
+        own = [(self.of[a:b].astype(np.int64), self.weight[a:b].astype(float)) for a, b in zip(self.at, self.at[1:])]
+        votes = [(v, int(c)) for n, (x, c) in enumerate(zip(own, self.labels)) if (v := self.vote(*x, skip=n)[0]) is not None]
         # Pool adjacent violators: [weight, weighted sum of labels, highest vote].
         pools: list[list[float]] = []
         for v, c in sorted(votes):
@@ -195,7 +277,13 @@ class ToxicityModel:
         self.values = np.array([(p[1] + prior) / (p[0] + 1) for p in pools] or [prior])
         w = weight[y[silent]] if silent else np.empty(0)
         self.silent = float(((w * y[silent]).sum() if silent else 0.0) + prior) / float(w.sum() + 1)
-        del self.weights, self.block_max, self.memo
+        for name in ("example", "value", "row", "rows", "row_max", "piece_at", "piece_block", "piece_max", "pieces", "memo", "unknown"):
+            delattr(self, name)
+
+    @classmethod
+    def opened(cls, model: ToxicityModel) -> ToxicityModel:
+        """The open model, kept in a Python worker between tasks."""
+        return held((cls, model.name), model.open)
 
     def score(self, text: bytes) -> tuple[float, str]:
         """Probability and evidence, ``id:cosine`` of the three nearest examples."""
@@ -207,6 +295,13 @@ class ToxicityModel:
         return float(min(1.0, max(0.0, p))), ",".join(f"{self.ids[a]}:{b:.4f}" for a, b in zip(i[:3], s[:3]))
 
 
+def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All numbers from each a to its b, one range after the other."""
+    n = b - a
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(n) else 0) + np.repeat(a - (ends - n), n)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -226,14 +321,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, k:
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = own.where(F.col("doc_id").isin(list(chosen))) if chosen else own.limit(0)
 
+    counts_schema = pa.schema([("doc_id", pa.int64()), ("half", pa.int64()), ("words", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = texts(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(zlib.crc32, data), pa.int64()), pa.array([pickle.dumps(word_counts(t)) for t in data], pa.binary())], schema=counts_schema)
+
     def fit(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_pylist()
-        data = [b"" if t is None else t.encode() for t in table.column("text").to_pylist()]
-        model = ToxicityModel(ids, data, [chosen[i] for i in ids], shares, k)
+        model = ToxicityModel(ids, [pickle.loads(x) for x in table.column("words").to_pylist()], table.column("half").to_pylist(), [chosen[i] for i in ids], shares, k)
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    fitted = rows.groupBy().applyInArrow(fit, "model binary").collect()
-    return pickle.loads(fitted[0].model) if fitted else ToxicityModel([], [], [], shares, k)
+    fitted = rows.mapInArrow(count, "doc_id long, half long, words binary").groupBy().applyInArrow(fit, "model binary").collect()
+    return pickle.loads(fitted[0].model) if fitted else ToxicityModel([], [], [], [], shares, k)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +342,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = model.open()
+        opened = ToxicityModel.opened(model)
         for batch in batches:
             scored = [opened.score(t) for t in texts(batch)]
             p = [s for s, _ in scored]

@@ -1,10 +1,11 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from docshape.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
+from docshape.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity, word_counts
 
 BAD = ["idiot", "moron", "trash", "scum"]
 
@@ -23,25 +24,43 @@ def made(n=900, seed=2):
     return rows, labels
 
 
+def model_of(ids, data, labels, shares):
+    return ToxicityModel(ids, [word_counts(t) for t in data], [zlib.crc32(t) for t in data], labels, shares).open()
+
+
 @pytest.fixture(scope="module")
 def model():
     rows, labels = made()
-    return ToxicityModel([i for i, _ in rows], [t.encode() for _, t in rows], [y for _, y in labels], (0.7, 0.3)).open()
+    return model_of([i for i, _ in rows], [t.encode() for _, t in rows], [y for _, y in labels], (0.7, 0.3))
+
+
+def brute_cosines(model, examples, text):
+    """Cosine of a text's TF-IDF vector with every example's, by dictionaries."""
+    def vector(t):
+        words = {}
+        for w in t.lower().split():
+            w = w.strip(".,!?;:\"'()[]#*$%&|<>")
+            for x in [w, *(f"{n}:{w[:n]}" for n in (4, 5) if len(w) > n)]:
+                if x and (x == w or x in model.tied):
+                    words[x] = words.get(x, 0) + 1
+        v = {x: (1 + math.log(n)) * (model.idf[model.vocabulary[x]] if x in model.vocabulary else model.rare) for x, n in words.items()}
+        norm = math.sqrt(sum(a * a for a in v.values())) or 1.0
+        return {x: a / norm for x, a in v.items()}
 
+    q = vector(text)
+    return {i: sum(q.get(x, 0.0) * a for x, a in vector(t).items()) for i, t in examples.items()}
 
-def test_block_max_search_is_exact(model):
-    assert model.blocks > 2 and "idiot" in model.vocabulary
-    dense = np.zeros((len(model.vectors), len(model.vocabulary)), np.float32)
-    for i, (at, w) in enumerate(model.vectors):
-        dense[i, at] = w
-    for _, text in made(300, seed=8)[0]:
-        at, w = model.query(text.encode())
-        q = np.zeros(len(model.vocabulary), np.float32)
-        q[at] = w
-        s = dense @ q
-        want = [i for i in sorted(range(len(s)), key=lambda i: -s[i]) if s[i] > 0][: model.k]
-        _, got = model.nearest(at, w)
-        assert np.allclose(got, s[want], atol=1e-5)
+
+def test_block_max_search_is_exact_over_all_words(model):
+    rows = dict(made()[0])
+    assert model.blocks > 2 and "idiot" in model.tied
+    assert set(model.vocabulary) >= {w.strip(".") for t in rows.values() for w in t.split()}
+    for _, text in [*made(60, seed=8)[0], (0, "unheard of words idiot"), (0, "idiot " * 300)]:
+        want = brute_cosines(model, {i: rows[i] for i in model.ids.tolist()}, text)
+        best = sorted((v for v in want.values() if v > 0), reverse=True)[: model.k]
+        at, got = model.nearest(*model.query(text.encode()))
+        assert np.allclose(got, best, atol=1e-5)
+        assert np.allclose([want[model.ids[i]] for i in at], got, atol=1e-5)
 
 
 def test_held_out_accuracy_and_calibration(model):
@@ -54,8 +73,19 @@ def test_held_out_accuracy_and_calibration(model):
 
 def test_labels_of_one_class_or_none():
     for labels in ([0, 0], [1, 1]):
-        assert ToxicityModel([1, 2], [b"a b", b"c"], labels, (1.0, 0.0)).open().score(b"a") == (0.0, "")
-    assert ToxicityModel([], [], [], (1.0, 0.0)).open().score(b"") == (0.0, "")
+        assert model_of([1, 2], [b"a b", b"c"], labels, (1.0, 0.0)).score(b"a") == (0.0, "")
+    assert model_of([], [], [], (1.0, 0.0)).score(b"") == (0.0, "")
+
+
+def test_held_out_documents(spark):
+    """Held-out accuracy on the driver's labels: recall and precision of planted toxicity, and neighbours for every text."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    marked = docs.join(labels.select("doc_id", "toxic"), "doc_id")
+    scored = score_toxicity(marked, fit_toxicity(docs, labels)).where("held_out").join(labels, "doc_id").select("predicted", "toxic", "evidence").collect()
+    hit = sum(r.predicted and r.toxic for r in scored)
+    assert hit / sum(r.toxic for r in scored) > 0.85 and hit / sum(r.predicted for r in scored) > 0.85
+    assert sum(bool(r.evidence) for r in scored) / len(scored) > 0.99
 
 
 def test_table(spark):
