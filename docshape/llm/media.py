@@ -7,7 +7,9 @@ it; each peak is paired with the next peaks, and a pair (bin, bin, distance) wit
 its frame is one number of the document's time-coded array.
 
 Both steps are Arrow maps without a shuffle: texts go in, a binary media column
-comes out, and the features read nothing but that column. Frames are transformed
+comes out (which the registered query writes as a table and reads back), and the
+features read nothing but that column; ``media`` and ``fingerprint``, the time-coded
+array, stay columns of the result. Frames are transformed
 in blocks that cross documents and cut long ones, so memory is bounded.
 
 Defined cases: null or empty text is a payload of 64 zero bytes; long texts are
@@ -124,9 +126,9 @@ def store_wav(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def audio_features(stored: DataFrame) -> DataFrame:
-    """Reads ``media`` back: the payload's size and digests, and ``fingerprint``, the time-coded array of peak pairs."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprint"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+    """Reads ``media`` back: the payload's size and digests, ``fingerprint``, the time-coded array of peak pairs, and ``media`` itself."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fingerprint", "media"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
     schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +139,14 @@ def audio_features(stored: DataFrame) -> DataFrame:
                 read = [from_wav(m) for m in media]
                 columns = [
                     batch.column(0), batch.column(1), [len(p) for p in read], [hashlib.sha256(p).hexdigest() for p in read],
-                    [zlib.crc32(p[-UNIT:]) for p in read], [len(m) for m in media], [hashlib.sha256(m).hexdigest() for m in media], fingerprints(read),
+                    [zlib.crc32(p[-UNIT:]) for p in read], [len(m) for m in media], [hashlib.sha256(m).hexdigest() for m in media], fingerprints(read), batch.column(2),
                 ]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], schema=schema)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fingerprint array<long>")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fingerprint array<long>, media binary")
 
 
 def with_feature_digest(features: DataFrame) -> DataFrame:
-    """``fingerprint`` as one string: its length and the SHA-256 of its numbers."""
+    """Adds ``feature``, the fingerprint as one string: its length and the SHA-256 of its numbers."""
     digest = F.sha2(F.array_join("fingerprint", ","), 256)
-    return features.withColumn("feature", F.concat_ws(":", F.size("fingerprint").cast("string"), digest)).drop("fingerprint")
+    return features.withColumn("feature", F.concat_ws(":", F.size("fingerprint").cast("string"), digest))

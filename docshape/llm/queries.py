@@ -16,9 +16,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docshape.llm.common import written
     from docshape.llm.media import audio_features, store_wav, with_feature_digest
 
-    return with_feature_digest(audio_features(store_wav(table(spark, sf_dir, "documents"))))
+    # The media column is a table of its own, and features come from what is read back from there.
+    return with_feature_digest(audio_features(written(store_wav(table(spark, sf_dir, "documents")), "media")))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +38,8 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docshape.llm.chat import fit_roles, parse_transcripts, transcripts_of
 
-    conversations = table(spark, sf_dir, "conversations")
-    return parse_transcripts(transcripts_of(conversations), fit_roles(conversations), keep=("conv_id", "part", "n_true", "true_roles"))
+    transcripts = transcripts_of(table(spark, sf_dir, "conversations"))
+    return parse_transcripts(transcripts, fit_roles(transcripts), keep=("conv_id", "held_out", "n_true", "true_roles"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from docshape.llm.chat import ROLES, RoleModel, as_transcript, fit_roles, marker, parse_transcripts, render, symbols, transcripts_of, unrender
+from docshape.llm.chat import ROLES, RoleModel, as_transcript, _OTHER_STYLES, fit_roles, is_held_out, marker, parse_transcripts, render, role_counts, symbols, transcripts_of, unrender
 
 
 def made(n, seed):
@@ -28,7 +28,7 @@ def test_markers():
 
 
 def test_viterbi_equals_brute_force():
-    model = RoleModel(labelled(made(50, 1)))
+    model = RoleModel(role_counts(labelled(made(50, 1))))
     from itertools import product
 
     for lines in (["User: a", "b"], ["x", "", "y?"], ["A: q", "### Human:", "z", ""]):
@@ -39,10 +39,10 @@ def test_viterbi_equals_brute_force():
 
 
 def test_held_out_roles_are_recovered():
-    model = RoleModel(labelled(made(400, 2)))
+    model = RoleModel(role_counts(labelled(made(400, 2))))
     right = whole = 0
     for i, turns in enumerate(made(300, 3), 1000):
-        got = model.turns(as_transcript(i, turns)[0])
+        got = model.turns(as_transcript(i, turns, _OTHER_STYLES)[0])
         whole += [r for r, _ in got] == [r for r, _ in turns]
         right += got == turns
     assert whole / 300 > 0.9 and right / 300 > 0.9
@@ -56,11 +56,23 @@ def test_render_round_trip():
 def test_table(spark):
     rows = [(c, k, r, t, "x") for c, turns in enumerate(made(60, 4)) for k, (r, t) in enumerate(turns)]
     odd = [(None, 0, "user", "lost", "x"), (None, 0, "user", "lost", "x"), (900, None, "user", "no turn", "x"), (901, 0, None, None, "x"), (902, 0, "narrator", "User: odd", "x"), (903, 0, "user", "w " * 20000, "x")]
-    long = [(950, k, "user" if k % 2 == 0 else "assistant", f"text {k}" * (1 + k % 2 * 9), "x") for k in range(1300)]
+    long = [(950, k, "user" if k % 2 == 0 else "assistant", f"text {k}" * (1 + k % 2 * 9), "x") for k in range(5000)]
     table = spark.createDataFrame(rows + odd + long, "conv_id long, turn long, role string, text string, chat string")
-    model = fit_roles(table)
-    got = parse_transcripts(transcripts_of(table), model, keep=("conv_id", "part", "n_true", "true_roles")).collect()
-    assert len(got) == 60 + 2 + 1 + 3 + 3 and {r.part for r in got if r.conv_id == 950} == {0, 1, 2}
-    assert sum(r.roles == r.true_roles for r in got) / len(got) > 0.85
+    raw = transcripts_of(table)
+    # One conversation of 5,000 odd turns would outweigh the other 66 in the counts.
+    model = fit_roles(raw.where("conv_id is null or conv_id <> 950"))
+    got = parse_transcripts(raw, model, keep=("conv_id", "held_out", "n_true", "true_roles")).collect()
+    assert len(got) == 60 + 2 + 1 + 3 + 1
+    (whole,) = [r for r in got if r.conv_id == 950]
+    assert whole.n_true == 5000 and whole.n_turns > 4000
+    short = [r for r in got if r.conv_id != 950]
+    assert sum(r.roles == r.true_roles for r in short) / len(short) > 0.85
+    assert all(r.held_out == is_held_out(r.conv_id) for r in got)
     assert all(len(unrender(r.chat)) == r.n_turns and set(r.roles.split(",")) <= set(ROLES) for r in got)
-    assert parse_transcripts(transcripts_of(table.limit(0)), fit_roles(table.limit(0)), keep=("conv_id",)).count() == 0
+    assert parse_transcripts(transcripts_of(table.limit(0)), fit_roles(transcripts_of(table.limit(0))), keep=("conv_id",)).count() == 0
+
+
+def test_held_out_conversations_of_the_table(spark):
+    raw = transcripts_of(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet"))
+    got = parse_transcripts(raw, fit_roles(raw), keep=("held_out", "true_roles")).where("held_out").collect()
+    assert len(got) > 100 and sum(r.roles == r.true_roles for r in got) / len(got) > 0.9

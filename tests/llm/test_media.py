@@ -40,6 +40,12 @@ def test_fingerprints_equal_brute_force_and_do_not_depend_on_neighbours():
     assert fingerprints([]) == [] and any(len(x) for x in together)
 
 
+def test_a_very_long_text(spark):
+    text = "a line of some words, \n" * 200_000
+    (r,) = audio_features(store_wav(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert from_wav(r.media)[: r.n_bytes] == text.encode() and r.fingerprint[-1] >> 16 > len(text) // UNIT - 100
+
+
 def test_table(spark):
     rows = list(enumerate(TEXTS)) + [(None, None), (1, "a"), (1, "a")]
     docs = spark.createDataFrame([(a, b, "clash") for a, b in rows], "doc_id long, text string, media string")
@@ -50,5 +56,6 @@ def test_table(spark):
         assert (r.doc_id, r.n_bytes, r.payload_bytes) == (doc, len((text or "").encode()), len(p))
         assert r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.tail_crc32 == zlib.crc32(p[-64:])
         assert r.media_bytes == len(to_wav(p)) and r.media_sha256 == hashlib.sha256(to_wav(p)).hexdigest()
+        assert r.fingerprint == brute(p) and r.media == to_wav(p) and r.feature.startswith(f"{len(r.fingerprint)}:")
     assert got[1].feature == got[-1].feature == got[-2].feature
     assert with_feature_digest(audio_features(store_wav(docs.limit(0)))).count() == 0
