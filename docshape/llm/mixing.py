@@ -16,7 +16,8 @@ by rank in salted groups of about ``GROUP`` documents.
 
 Defined cases: null text has size 0 and is taken 0 times, as is any document without
 words; null source is a source of its own, last; null ids stay null; repeated rows
-are documents of their own; other columns are ignored; an empty table gives no rows.
+are documents of their own; other columns are ignored (``mixed_documents`` keeps
+them); very long texts are counted whole; an empty table gives no rows.
 Reruns over the same rows agree: ranks depend on hashes of the rows alone.
 """
 
@@ -33,13 +34,23 @@ from docshape.llm.common import drop_written, n_words, written
 GROUP = 10_000
 
 
+def source_ranks(sources: DataFrame) -> DataFrame:
+    """Adds ``rank``, from 0 in code-point order, null last: ranks inside ranges of sources, and the sizes of the ranges before."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = written(sources.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    # One row a range, no more than there are partitions.
+    before = ranged.groupBy("range").count().withColumn("before", F.sum("count").over(Window.orderBy("range")) - F.col("count")).drop("count")
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.join(before, "range").withColumn("rank", F.col("before") + inside - 1).drop("range", "before")
+
+
 def source_targets(sources: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, share: float = 1.0) -> DataFrame:
     """``source``, ``source_size`` -> with ``target``: by weight, at most ``most`` x its size, the excess reshared.
 
     A table of one row per source; weights repeat in code-point order, null last.
     """
-    ordered = Window.orderBy(F.col("source").isNull(), "source")
-    table = sources.withColumn("weight", F.array(*map(F.lit, weights))[F.pmod(F.row_number().over(ordered) - 1, F.lit(len(weights)))]).withColumn("limit", most * F.col("source_size"))
+    weight = F.array(*map(F.lit, weights))[F.pmod(F.col("rank"), F.lit(len(weights))).cast("int")]
+    table = source_ranks(sources).withColumn("weight", weight).withColumn("limit", most * F.col("source_size"))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level, capped = 0.0, -1
     while True:
@@ -142,11 +153,12 @@ def rounded_copies(rates: DataFrame, *, most: int = 3) -> DataFrame:
     return rates.groupBy("source").applyInPandas(run, "source string, size long, base int, odd long")
 
 
-def copies_by_document(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group: int = GROUP) -> DataFrame:
-    """Per document: ``doc_id``, ``size`` (words), ``source_size``, ``target`` and ``copies`` (0 to ``most``)."""
+def copies_by_document(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, group: int = GROUP) -> DataFrame:
+    """Per document: ``doc_id``, ``size`` (words), ``source_size``, ``target``, ``copies`` (0 to ``most``) and ``row_id``, the number in ``row_col``."""
     small = written(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("h"),
+        (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row_id"),
     ), "sizes")
     sizes = written(small.groupBy("source", "size").agg(F.count("*").alias("n")), "size_counts")
     targets = written(source_targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights=weights, most=float(most), share=share), "targets")
@@ -154,13 +166,13 @@ def copies_by_document(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.
     decided = written(copies.join(sizes.select(F.col("source").alias("s"), F.col("size").alias("z"), "n"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select("s", "z", "base", "odd", F.ceil(F.col("n") / group).cast("long").alias("salts")), "copies")
 
     # Documents without words have no copies, and no row in ``decided``.
-    wordless = small.where("size = 0").select("doc_id", "source", "size", F.lit(0).alias("copies"), "h")
+    wordless = small.where("size = 0").select("doc_id", "source", "size", F.lit(0).alias("copies"), "row_id")
     salted = small.where("size > 0").join(decided, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("salt", F.pmod(F.shiftright("h", 20), F.col("salts")))
     before = salted.groupBy("s", "z", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("s", "z").orderBy("salt")) - F.col("count"))
     before = before.select(F.col("s").alias("s2"), F.col("z").alias("z2"), F.col("salt").alias("salt2"), "before")
     placed = salted.join(before, F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("salt") == F.col("salt2")))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("s", "z", "salt").orderBy("h", "doc_id"))
-    chosen = placed.withColumn("copies", F.col("base") + (rank <= F.col("odd")).cast("int")).select("doc_id", "source", "size", "copies", "h").union(wordless)
+    chosen = placed.withColumn("copies", F.col("base") + (rank <= F.col("odd")).cast("int")).select("doc_id", "source", "size", "copies", "row_id").union(wordless)
     t = targets.select(F.col("source").alias("t"), "source_size", "target")
     return chosen.join(t, F.col("source").eqNullSafe(F.col("t"))).drop("t")
 
@@ -171,13 +183,14 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with all their columns."""
-    text, source, doc = options.get("text_col", "text"), options.get("source_col", "source"), options.get("id_col", "doc_id")
-    key = F.xxhash64(F.col(doc), F.col(source), F.col(text))
-    # Equal rows share a key; their copies are summed and dealt to one of them.
-    copies = copies_by_document(docs, **options).groupBy(F.col("h").alias("row_hash")).agg(F.sum("copies").cast("int").alias("row_copies")).where("row_copies > 0")
-    # The row travels as one struct, so that its columns can't clash with ours.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("row_key"))
-    one = rows.join(copies, F.col("row_key") == F.col("row_hash")).dropDuplicates(["row_key"])
-    return one.select("row", F.explode(F.sequence(F.lit(1), F.col("row_copies")))).select("row.*")
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it, with all their columns.
+
+    Rows are numbered in a written table, as one struct, so that no two are taken for
+    one and their columns can't clash with ours.
+    """
+    rows = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("row_number")), "rows")
+    own = rows.select("row_number", *(F.col("row").getField(c).alias(a) for c, a in ((id_col, "doc_id"), (text_col, "text"), (source_col, "source"))))
+    copies = copies_by_document(own, row_col="row_number", **options).where("copies > 0").select("row_id", F.col("copies").cast("int").alias("copies"))
+    met = rows.join(copies, F.col("row_number") == F.col("row_id"))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
