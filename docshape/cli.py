@@ -11,10 +11,8 @@ from docshape import __version__
 
 
 def parser() -> ArgumentParser:
-    about = "Discover the implicit schema of mixed documents."
-    p = ArgumentParser("docshape", description=about)
-    shown = "docshape " + __version__
-    p.add_argument("--version", version=shown, action="version")
+    p = ArgumentParser("docshape", description="Discover the implicit schema of mixed documents.")
+    p.add_argument("--version", action="version", version=f"docshape {__version__}")
     a = p.add_subparsers(dest="command", required=True).add_parser("analyze", help="analyze a folder or file")
     a.add_argument("path")
     a.add_argument("-m", "--model", help="language model that names the types; rules without it")
@@ -46,8 +44,7 @@ def main(arguments: Sequence[str] | None = None) -> int:
             f.write(text)
     else:
         print(text)
-    done = 0
-    return done
+    return 0
 
 
 if __name__ == "__main__":

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DAY, _CUT = r"\d{1,2}", "[-./]"
-_MONTH = "(?:" + "|".join(["Jan", "Feb", "Mar", "Apr", "May", "Jun"] + ["Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]) + ")"
-_GAP = r"[-\s]?"
-#: Patterns in the common subset of Java and RE2; see ``java`` for the flags that Java needs.
-DATE = "|".join([rf"\b{_DAY}{_CUT}{_DAY}{_CUT}" + r"\d{2,4}\b", r"\b\d{4}[-/]" + r"\d{2}[-/]\d{2}\b", rf"\b{_MONTH}" + r"\w*\s+" + _DAY + r",?\s+\d{4}\b"])
-AMOUNT = r"[$€£¥]\s*" + r"[,\d]+\.?\d*" + "|" + r"\b\d{1,3}" + r"(?:,\d{3})+" + r"(?:\.\d{2})?\b"
-EMAIL = r"\b[\w.+-]+" + "@" + r"[\w-]+" + r"\.[\w.-]+\b"
-PHONE = r"\b(?:\+?\d{1,3}" + _GAP + ")?" + r"\(?\d{2,4}\)?" + (_GAP + r"\d{3,4}") * 2 + r"\b"
-URL = "https?" + r"://\S+"
-KEY_VALUE = "^(.{2,40})" + r"\s*[:=]\s*" + "(.+)$"
-HEADER = "^(?:" + r"#{1,4}\s+.+" + "|" + "[A-Z]" + r"[\sA-Z]{2,40}$" + ")"
+#: Patterns of the structural features, as the survey gives them: their behaviour is fixed.
+#: They lie in the common subset of Java and RE2; see ``java`` for the flags that Java needs.
+DATE = r"\b\d{1,2}[-./]\d{1,2}[-./]\d{2,4}\b|\b\d{4}[-/]\d{2}[-/]\d{2}\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d{1,2},?\s+\d{4}\b"
+AMOUNT = r"[$€£¥]\s*[,\d]+\.?\d*|\b\d{1,3}(?:,\d{3})+(?:\.\d{2})?\b"
+EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
+PHONE = r"\b(?:\+?\d{1,3}[-\s]?)?\(?\d{2,4}\)?[-\s]?\d{3,4}[-\s]?\d{3,4}\b"
+URL = r"https?://\S+"
+KEY_VALUE = r"^(.{2,40})\s*[:=]\s*(.+)$"
+HEADER = r"^(?:#{1,4}\s+.+|[A-Z][\sA-Z]{2,40}$)"
 #: Pattern and flags of each structural feature.
 PATTERNS = {"dates": (DATE, "i"), "amounts": (AMOUNT, ""), "emails": (EMAIL, ""), "phones": (PHONE, ""), "urls": (URL, ""), "kv": (KEY_VALUE, "m"), "headers": (HEADER, "m")}
+#: What a text must contain for a pattern to match anywhere; texts without it are never searched.
+_NEEDS = {"emails": ("@",), "urls": ("://",), "kv": (":", "=")}
 FEATURES = [f"f{i:02d}" for i in range(18)]
 
 
@@ -28,7 +30,11 @@ def java(pattern: str, flags: str = "") -> str:
 
 def pattern_count(text: Column, name: str) -> Column:
     pattern, flags = PATTERNS[name]
-    return F.regexp_count(text, F.lit(java(pattern, flags)))
+    found = F.regexp_count(text, F.lit(java(pattern, flags)))
+    if name not in _NEEDS:
+        return found
+    held = reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in _NEEDS[name]))
+    return F.when(held, found).when(text.isNotNull(), 0)
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -38,27 +44,31 @@ def occurrences(text: Column, part: str) -> Column:
 
 def table_lines(text: Column) -> Column:
     """Lines with at least two tabs or two pipes."""
-    return F.size(F.filter(F.split(text, "\n", -1), lambda x: (occurrences(x, "\t") >= 2) | (occurrences(x, "|") >= 2)))
+    counted = F.size(F.filter(F.split(text, "\n", -1), lambda x: (occurrences(x, "\t") >= 2) | (occurrences(x, "|") >= 2)))
+    return F.when(F.contains(text, F.lit("\t")) | F.contains(text, F.lit("|")), counted).when(text.isNotNull(), 0)
 
 
-def structural_fingerprint(text: Column) -> list[Column]:
-    """The 18 features as ``f00`` to ``f17``; null or empty text is all zeros.
+def fingerprinted(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
+    """``keep`` and the 18 features as ``f00`` to ``f17``; null or empty text is all zeros.
 
-    Every count is one expression that Catalyst computes once; flags are counts above zero.
+    A first projection counts, each pattern once; the features are a second one over the
+    counts, which the optimizer doesn't fold into the first.
     """
-    t = F.coalesce(text, F.lit(""))
-    lines = (occurrences(t, "\n") + 1).cast("double")
-    n = {k: pattern_count(t, k) for k in PATTERNS} | {"table": table_lines(t)}
-    share = lambda k: F.least(n[k] / lines, F.lit(1.0))
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    counts = {k: pattern_count(t, k) for k in PATTERNS} | {
+        "table": table_lines(t), "chars": F.char_length(t), "lines": occurrences(t, "\n") + 1, "words": F.regexp_count(t, F.lit(r"(?U)\S+")), "paragraphs": occurrences(t, "\n\n"),
+    }
+    counted = docs.select(*keep, *(c.alias(f"count_{k}") for k, c in counts.items()))
+    n = {k: F.col(f"count_{k}") for k in counts}
+    share = lambda k: F.least(n[k] / n["lines"], F.lit(1.0))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    paragraphs = occurrences(t, "\n\n")
     values = [
-        F.least(F.char_length(t) / 10000, F.lit(5.0)), F.least(lines / 100, F.lit(5.0)), F.least(F.regexp_count(t, F.lit(r"(?U)\S+")) / 2000, F.lit(5.0)),
+        F.least(n["chars"] / 10000, F.lit(5.0)), F.when(n["chars"] > 0, F.least(n["lines"] / 100, F.lit(5.0))).otherwise(0.0), F.least(n["words"] / 2000, F.lit(5.0)),
         *(share(k) for k in ("dates", "amounts", "emails", "phones", "urls", "kv")), F.least(n["headers"] / 10.0, F.lit(1.0)), share("table"),
-        F.when(paragraphs > 0, F.least((paragraphs + 1) / lines, F.lit(1.0))).otherwise(0.0),
+        F.when(n["paragraphs"] > 0, F.least((n["paragraphs"] + 1) / n["lines"], F.lit(1.0))).otherwise(0.0),
         *(flag(n[k] > 0) for k in ("dates", "amounts", "emails", "table", "headers")), flag(n["kv"] > 3),
     ]
-    return [F.when(t == "", 0.0).otherwise(v).alias(f) for f, v in zip(FEATURES, values)]
+    return counted.select(*keep, *(v.alias(f) for f, v in zip(FEATURES, values)))
 
 
 def normalized(features: list[Column]) -> list[Column]:
@@ -78,7 +88,7 @@ def smart_truncate(text: Column, most: int = 2000) -> Column:
 
 def field_name(name: Column) -> Column:
     """A name's normal form: snake case of ``[a-z0-9_]``."""
-    x = F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), "(" + "[a-z]" + ")([A-Z])", "$1_$2")
+    x = F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), "([a-z])([A-Z])", "$1_$2")
     for pattern, by in ((r"[-.\s]+", "_"), ("[^a-z0-9_]", ""), ("_+", "_"), ("^_|_$", "")):
         x = F.regexp_replace(F.lower(x) if pattern.startswith("[-") else x, pattern, by)
     return x
@@ -107,18 +117,8 @@ def value_type(value: Column) -> Column:
 
 
 def key_values(text: Column) -> Column:
-    """Array of (line, name, value) of the lines with a key before their first ``:`` or ``=``."""
-    pattern = r"^([^:=]{2,40})[:=]\s*(\S.*)$"
-    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), F.trim(F.regexp_extract(x, pattern, 1)).alias("name"), F.trim(F.regexp_extract(x, pattern, 2)).alias("value")))
-    return F.filter(lines, lambda x: x["name"] != "")
-
-
-def column_safe_group(name: Column, index: Column, doc_type: Column) -> Column:
-    """A group's name, or a reference section, or ``<type> Section i``, where it says nothing."""
-    from docshape.functions.reference import SECTIONS, VAGUE
-
-    said = F.trim(F.coalesce(name, F.lit("")))
-    sections = F.create_map(*(x for k, v in SECTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    known = F.try_element_at(F.try_element_at(sections, F.lower(doc_type)), index + 1)
-    plain = F.concat(F.when(F.trim(F.coalesce(doc_type, F.lit(""))) == "", "Document").otherwise(F.initcap(doc_type)), F.lit(" Section "), (index + 1).cast("string"))
-    return F.when((said != "") & ~F.lower(said).isin(list(VAGUE)), said).otherwise(F.coalesce(known, plain))
+    """Array of (line, name, value) of the lines with a key of 2 to 40 characters before their first ``:`` or ``=`` and a value after it."""
+    part = lambda x, i: F.struct(i.alias("line"), F.split(x, "[:=]", 2).alias("sides"))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), part), lambda x: (F.size(x["sides"]) == 2) & F.char_length(x["sides"][0]).between(2, 40))
+    found = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.trim(x["sides"][0]).alias("name"), F.trim(F.regexp_replace(x["sides"][1], r"^\s+", "")).alias("value")))
+    return F.filter(found, lambda x: (x["name"] != "") & (x["value"] != ""))

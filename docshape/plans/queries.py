@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docshape.functions import text as T
-from docshape.operators import cluster, embed, fields, grouping, metrics, presence
+from docshape.operators import cluster, embed, fields, grouping, metrics, presence, similar
 from docshape.sources import export, files
 from docshape.sources.rendered import SQL as RENDERED
 from docshape.sources.rendered import rendered
+from docshape.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -52,7 +53,7 @@ _RAW = ", ".join(f"CASE WHEN t = '' THEN 0 ELSE CAST({e} AS DOUBLE) END AS {f}"
 
 @query(f"WITH {_D}, {_COUNTS}, f AS (SELECT doc_id, {_RAW} FROM c) SELECT doc_id, " + ", ".join(f"round({f}, 6) AS {f}" for f in T.FEATURES) + " FROM f")
 def structural_fingerprint(spark, d):
-    raw = _docs(spark, d).select("doc_id", *T.structural_fingerprint(F.col("text")))
+    raw = T.fingerprinted(_docs(spark, d), "doc_id")
     return raw.select("doc_id", *(F.round(f, 6).alias(f) for f in T.FEATURES))
 
 
@@ -61,7 +62,7 @@ _NORM = "sqrt(" + " + ".join(f"{f} * {f}" for f in T.FEATURES) + ")"
 
 @query(f"WITH {_D}, {_COUNTS}, f AS (SELECT doc_id, {_RAW} FROM c), n AS (SELECT *, CASE WHEN {_NORM} = 0 THEN 1 ELSE {_NORM} END AS norm FROM f) SELECT doc_id, " + ", ".join(f"round({f} / norm, 6) AS {f}" for f in T.FEATURES) + " FROM n")
 def fingerprint_normalized(spark, d):
-    raw = _docs(spark, d).select("doc_id", *T.structural_fingerprint(F.col("text")))
+    raw = T.fingerprinted(_docs(spark, d), "doc_id")
     unit = raw.select("doc_id", *T.normalized([F.col(f) for f in T.FEATURES]))
     return unit.select("doc_id", *(F.round(f, 6).alias(f) for f in T.FEATURES))
 
@@ -92,7 +93,7 @@ def nonblank_scan_stats(spark, d):
     return files.scan_stats(_docs(spark, d))
 
 
-_HUMP = "(" + ")(".join(["[a-z]", "[A-Z]"]) + ")"
+_HUMP = "([a-z])([A-Z])"
 
 
 def _sql_name(x: str) -> str:
@@ -127,12 +128,19 @@ def normalize_field_names(spark, d):
 _PARTS = "n AS (SELECT DISTINCT p_brand, p_name FROM part)"
 
 
-@query(f"WITH {_PARTS} SELECT a.p_brand AS brand, a.p_name AS name1, b.p_name AS name2, CAST(levenshtein(a.p_name, b.p_name) AS INT) AS distance FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) < 6")
-def levenshtein_pairs(spark, d):
+def _part_names(spark: SparkSession, d: str) -> DataFrame:
     n = spark.read.parquet(f"{d}/part.parquet").select("p_brand", "p_name").distinct()
-    a, b = n.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name1")), n.select(F.col("p_brand").alias("b2"), F.col("p_name").alias("name2"))
-    met = a.join(b, (F.col("brand") == F.col("b2")) & (F.col("name1") < F.col("name2")) & (F.abs(F.char_length("name1") - F.char_length("name2")) < 6))
-    return met.select("brand", "name1", "name2", F.levenshtein("name1", "name2", 5).alias("distance")).where("distance >= 0")
+    return n.select(F.col("p_brand").alias("key"), F.struct(F.col("p_name").alias("name")).alias("item"))
+
+
+def _name_pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.col("key").alias("brand"), F.col("a.name").alias("name1"), F.col("b.name").alias("name2")).where("name1 < name2").distinct()
+
+
+@query(f"WITH {_PARTS} SELECT a.p_brand AS brand, a.p_name AS name1, b.p_name AS name2, CAST(levenshtein(a.p_name, b.p_name) AS INT) AS distance FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 2")
+def levenshtein_pairs(spark, d):
+    met = similar.within_edits(_part_names(spark, d), F.col("item.name"), 2)
+    return _name_pairs(met).withColumn("distance", F.levenshtein("name1", "name2", 2)).where("distance >= 0")
 
 
 def _sql_jaccard(a: str, b: str) -> str:
@@ -140,21 +148,22 @@ def _sql_jaccard(a: str, b: str) -> str:
     return f"CASE WHEN len({words[0]}) = 0 OR len({words[1]}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({words[0]}, {words[1]})) AS DOUBLE) / len(list_distinct(list_concat({words[0]}, {words[1]}))) END"
 
 
-@query(f"WITH {_PARTS} SELECT a.p_brand AS brand, a.p_name AS name1, b.p_name AS name2, round({_sql_jaccard('a.p_name', 'b.p_name')}, 6) AS overlap FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name")
+@query(f"WITH {_PARTS}, p AS (SELECT a.p_brand AS brand, a.p_name AS name1, b.p_name AS name2, round({_sql_jaccard('a.p_name', 'b.p_name')}, 6) AS overlap FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name) SELECT * FROM p WHERE overlap >= 0.3")
 def description_jaccard(spark, d):
-    n = spark.read.parquet(f"{d}/part.parquet").select("p_brand", "p_name").distinct()
-    a, b = n.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name1")), n.select(F.col("p_brand").alias("b2"), F.col("p_name").alias("name2"))
-    met = a.join(b, (F.col("brand") == F.col("b2")) & (F.col("name1") < F.col("name2")))
-    return met.select("brand", "name1", "name2", F.round(T.words_jaccard(F.col("name1"), F.col("name2")), 6).alias("overlap"))
+    met = similar.sharing_words(_part_names(spark, d), F.col("item.name"), 30)
+    return _name_pairs(met).withColumn("overlap", F.round(T.words_jaccard(F.col("name1"), F.col("name2")), 6)).where("overlap >= 0.3")
 
 
 def discovered(spark: SparkSession, d: str) -> DataFrame:
     """One row per found line as a field: ``ord`` is document, then line."""
-    found = presence.extract_fields(rendered(spark, d))
-    return found.select("cluster_id", (F.col("doc_id") * 64 + F.col("line")).alias("ord"), "name", "type", F.col("quote").alias("description"), F.col("value").alias("example"), "norm")
+    return as_fields(presence.extract_fields(rendered(spark, d)))
+
+
+def as_fields(found: DataFrame) -> DataFrame:
+    return found.select("cluster_id", (F.col("doc_id") * 1_000_000 + F.col("line")).alias("ord"), "name", "type", F.col("quote").alias("description"), F.col("value").alias("example"), "norm")
 
 
-_DISC = f"{_FOUND}, disc AS (SELECT cluster_id, doc_id * 64 + line AS ord, name, type, quote AS description, value AS example, norm FROM found WHERE norm <> '')"
+_DISC = f"{_FOUND}, disc AS (SELECT cluster_id, doc_id * 1000000 + line AS ord, name, type, quote AS description, value AS example, norm FROM found WHERE norm <> '')"
 _MERGED = f"""{_DISC}, m AS (SELECT cluster_id, norm, min(ord) AS ord, first(description ORDER BY length(description) DESC, ord) AS description, coalesce(first(type ORDER BY ord) FILTER (type <> 'string'), 'string') AS type, first(example ORDER BY ord) AS example FROM disc GROUP BY ALL),
 e AS (SELECT cluster_id, norm, example, min(ord) AS ord FROM disc GROUP BY ALL), e5 AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, norm ORDER BY ord, example) AS nth FROM e QUALIFY nth <= 5),
 merged AS (SELECT m.*, ex.examples FROM m JOIN (SELECT cluster_id, norm, string_agg(example, ' | ' ORDER BY nth) AS examples FROM e5 GROUP BY ALL) ex USING (cluster_id, norm))"""
@@ -162,7 +171,8 @@ merged AS (SELECT m.*, ex.examples FROM m JOIN (SELECT cluster_id, norm, string_
 
 @query(f"WITH {_MERGED} SELECT * FROM merged")
 def merge_field_lists(spark, d):
-    return fields.merge_fields(discovered(spark, d)).withColumn("examples", F.array_join("examples", " | "))
+    found = written(presence.extract_fields(rendered(spark, d)), "found")
+    return fields.merge_fields(as_fields(found)).withColumn("examples", F.array_join("examples", " | "))
 
 
 _FREQ = f"""{_FOUND}, t AS (SELECT cluster_id, count(*) AS n_docs FROM r GROUP BY 1),
@@ -188,8 +198,11 @@ _ALIASES = [("Part Name", "Item Name", 0), ("Customer Name", "Party Name", 1), (
 
 
 def _with_ord(spark: SparkSession, d: str) -> DataFrame:
-    merged = fields.merge_fields(discovered(spark, d)).select("cluster_id", "ord", F.col("norm").alias("name"), "type", "description", "example")
-    return merged.join(frequencies(spark, d).select("cluster_id", "name", "frequency", "doc_count", "required"), ["cluster_id", "name"])
+    """The merged fields with their frequencies. Lines are extracted once, into a written table that all steps read."""
+    docs = rendered(spark, d)
+    found = written(presence.extract_fields(docs), "found")
+    merged = fields.merge_fields(as_fields(found)).select("cluster_id", "ord", F.col("norm").alias("name"), "type", "description", "example")
+    return merged.join(presence.field_frequency(docs, found).select("cluster_id", "name", "frequency", "doc_count", "required"), ["cluster_id", "name"])
 
 
 _FREQ_ONLY = _FREQ[len(_FOUND) + 2 :]
@@ -214,7 +227,7 @@ def cross_cluster_fields(spark, d):
 
 _LEV = "levenshtein(a.name, b.name)"
 _JAC = _sql_jaccard("a.d", "b.d")
-_MERGE_SQL = f"""s AS (SELECT cluster_id, ord, name, replace(name, '_', ' ') AS d FROM fld UNION ALL SELECT 'all', ord + 1000000000000000, name, replace(name, '_', ' ') FROM fld UNION ALL SELECT * FROM (VALUES ('all', 1, 'total', 'sum to pay'), ('all', 2, 'totals', 'sum to pay'), ('all', 3, 'sum_due', 'the sum to pay'), ('all', 4, 'sum_dues', 'unlike')) AS v(c, o, n, d)),
+_MERGE_SQL = f"""s AS (SELECT cluster_id, ord, name, replace(name, '_', ' ') AS d FROM fld UNION ALL SELECT 'all', ord + 1000000000000000000, name, replace(name, '_', ' ') FROM fld UNION ALL SELECT * FROM (VALUES ('all', 1, 'total', 'sum to pay'), ('all', 2, 'totals', 'sum to pay'), ('all', 3, 'sum_due', 'the sum to pay'), ('all', 4, 'sum_dues', 'unlike')) AS v(c, o, n, d)),
 p AS (SELECT a.cluster_id, a.ord AS o1, b.ord AS o2, a.name AS name1, b.name AS name2, CASE WHEN {_LEV} < 6 THEN {_LEV} ELSE -1 END AS dist, {_JAC} AS j, contains(a.name, b.name) OR contains(b.name, a.name) AS inside FROM s a JOIN s b ON a.cluster_id = b.cluster_id AND a.ord < b.ord AND a.name <> b.name)
 SELECT cluster_id, name1, name2, CASE WHEN length(name2) > length(name1) THEN name2 ELSE name1 END AS suggested_name, concat_ws(', ', CASE WHEN dist BETWEEN 0 AND 2 THEN 'similar names (distance=' || dist || ')' END, CASE WHEN j > 0.5 THEN 'similar descriptions (' || CAST(floor(j * 100) AS INT) || '% overlap)' END, CASE WHEN inside THEN 'one name contains the other' END) AS reason
 FROM p WHERE dist BETWEEN 0 AND 2 OR (j > 0.5 AND dist >= 0) OR inside QUALIFY row_number() OVER (PARTITION BY cluster_id, least(name1, name2), greatest(name1, name2) ORDER BY o1, o2) = 1"""
@@ -224,7 +237,7 @@ FROM p WHERE dist BETWEEN 0 AND 2 OR (j > 0.5 AND dist >= 0) OR inside QUALIFY r
 def suggest_merges(spark, d):
     f = _with_ord(spark, d).select("cluster_id", "ord", "name", F.replace("name", F.lit("_"), F.lit(" ")).alias("description"))
     odd = spark.createDataFrame([("all", 1, "total", "sum to pay"), ("all", 2, "totals", "sum to pay"), ("all", 3, "sum_due", "the sum to pay"), ("all", 4, "sum_dues", "unlike")], f.schema)
-    return fields.suggest_merges(f.union(odd).union(f.select(F.lit("all"), F.col("ord") + 1_000_000_000_000_000, "name", "description")))
+    return fields.suggest_merges(f.union(odd).union(f.select(F.lit("all"), F.col("ord") + 1_000_000_000_000_000_000, "name", "description")))
 
 
 @query(
@@ -256,13 +269,13 @@ def group_assignment(spark, d):
     return grouping.assign_groups(_with_ord(spark, d), groups).select("cluster_id", "name", "group", "color")
 
 
-_VECTORS = "v AS (SELECT vec_id, label, embedding FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 10 <> 0), r AS (SELECT * FROM v WHERE vec_id % 10 = 0)"
-
-
-@query(f"WITH {_VECTORS} SELECT q.vec_id, first(r.vec_id ORDER BY dist, r.vec_id) AS ref_id, first(r.label ORDER BY dist, r.vec_id) AS cluster_id, min(dist) AS distance FROM q, r, LATERAL (SELECT round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS dist) GROUP BY 1")
+@query("""WITH e AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, round(avg(CAST(v AS DOUBLE)), 9) AS v FROM e GROUP BY 1, 2),
+r AS (SELECT label, list(v ORDER BY pos) AS c FROM m GROUP BY 1)
+SELECT vec_id, CAST(first(r.label ORDER BY dist, r.label) AS BIGINT) AS ref_id, first(r.label ORDER BY dist, r.label) AS cluster_id, min(dist) AS distance FROM embeddings q, r, LATERAL (SELECT round(list_distance(CAST(q.embedding AS DOUBLE[]), r.c), 6) AS dist) GROUP BY 1""")
 def nearest_cluster_assign(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet")
-    return cluster.nearest_cluster(v.where("vec_id % 10 <> 0"), v.where("vec_id % 10 = 0"))
+    of = cluster.centres(v).withColumn("vec_id", F.col("label").cast("long"))
+    return cluster.nearest_cluster(v, of)
 
 
 @query("""WITH c AS (SELECT label AS a, vec_id % 7 + 3 * (label % 2) AS b, count(*)::DOUBLE AS n FROM embeddings GROUP BY 1, 2), rs AS (SELECT a, sum(n) AS an FROM c GROUP BY 1), cs AS (SELECT b, sum(n) AS bn, max(n) AS top FROM c GROUP BY 1),

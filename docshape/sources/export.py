@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _JSON_TYPE = {"number": "number", "integer": "integer", "boolean": "boolean"}
-_DRAFT = "/draft/2020-12/schema"
+_DRAFT = "https://json-schema.org/draft/2020-12/schema"
 _SPARK_TYPE = {"number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType(), "date": T.DateType()}
 
 
@@ -46,7 +46,7 @@ def json_schema(fields: DataFrame) -> DataFrame:
     examples = F.when(F.coalesce("example", F.lit("")) != "", F.array("example"))
     of = F.struct(kind.alias("type"), F.col("description"), F.when(F.col("type") == "date", "date").alias("format"), examples.alias("examples"))
     rows = fields.groupBy("cluster_id").agg(_lines(F.struct(F.col("name"), of.alias("of"))).alias("p"), F.filter(_lines(F.when(F.col("required"), F.col("name"))), lambda x: x.isNotNull()).alias("required"))
-    whole = F.struct(F.lit("https://" + "json-schema.org" + _DRAFT).alias("$schema"), F.col("cluster_id").alias("title"), F.lit("object").alias("type"), F.map_from_entries("p").alias("properties"), F.col("required"))
+    whole = F.struct(F.lit(_DRAFT).alias("$schema"), F.col("cluster_id").alias("title"), F.lit("object").alias("type"), F.map_from_entries("p").alias("properties"), F.col("required"))
     return rows.select("cluster_id", F.to_json(whole).alias("json_schema"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docshape.functions import text as T
 from docshape.functions.chunks import chunks, split_text
 from docshape.functions.jsonfix import balanced, expect_shape, parse_json, repaired
+from docshape.functions.reference import group_name, single_group_name
 
 EDGE = [
     "", "x", "a\r\nb: c\r\n", "key : value\nNext=1\nT: 10:30\nA:\nb", "٣/٤/٢٠٢٤ and 3/4/2024, 2024-01-02", "é@b.co émail@exämple.org x@y.z", "HEAD\nTWO\n\nTHREE", "₹1,23,456.00 $ 5 €1.234", "call 555 123 4567 or +1-555-123-4567",
@@ -27,9 +28,9 @@ def python_features(t):
 
 def test_fingerprint_equals_python_on_edge_strings(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(EDGE)], "i int, t string")
-    for r in df.select("i", "t", *T.structural_fingerprint(F.col("t"))).collect():
+    for r in T.fingerprinted(df, "i", "t", text_col="t").collect():
         assert list(r)[2:] == pytest.approx(python_features(r.t)), r.t
-    nulls = spark.createDataFrame([(None,)], "t string").select(*T.structural_fingerprint(F.col("t"))).first()
+    nulls = T.fingerprinted(spark.createDataFrame([(None,)], "t string"), text_col="t").first()
     assert list(nulls) == [0.0] * 18
 
 
@@ -48,8 +49,8 @@ def test_truncate_jaccard_fences_types(spark):
     assert one(T.without_fences(F.lit("```json\n{}\n```"))).strip() == "{}"
     kinds = [(v, one(T.value_type(F.lit(v)))) for v in ("$1,234.50", "2024-01-31", "Yes", "abc", "12x")]
     assert [k for _, k in kinds] == ["number", "date", "boolean", "string", "string"]
-    assert one(T.column_safe_group(F.lit("Other"), F.lit(1), F.lit("invoice"))) == "Buyer Details"
-    assert one(T.column_safe_group(F.lit(""), F.lit(9), F.lit("lease"))) == "Lease Section 10" and one(T.column_safe_group(F.lit("Money"), F.lit(0), F.lit("x"))) == "Money"
+    assert group_name("Other", 1, "invoice") == "Buyer Details" and group_name("", 9, "Lease") == "Lease Section 10" and group_name(" Money ", 0, "x") == "Money"
+    assert single_group_name("") == "Document Fields" and single_group_name("Invoice") == "Invoice Fields"
 
 
 def test_chunks(spark):
