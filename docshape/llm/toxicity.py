@@ -44,11 +44,11 @@ from pyspark.sql import functions as F
 from docshape.llm.common import held, texts
 
 #: Labelled rows to fit on, at most; neighbours; examples of a block; weight of terms tied to the label.
-SAMPLE, NEIGHBOURS, BLOCK, BOOST = 6000, 15, 64, 8.0
+SAMPLE, NEIGHBOURS, BLOCK, BOOST = 6000, 15, 256, 8.0
 #: Chi-square of a term in each half (1 % level) and documents of a half that hold it.
 CHI_SQUARE, LEAST = 6.63, 5
-#: Blocks scored at first; lists of terms in more than this share of the examples are stored as rows.
-FIRST, DENSE = 8, 1 / 8
+#: Blocks scored at first; lists of terms in more than this share of the examples are stored as rows; texts scored together.
+FIRST, DENSE, BATCH = 2, 1 / 16, 64
 MEMO = 400_000
 _EDGE = ".,!?;:\"'()[]#*$%&|<>"
 
@@ -172,86 +172,98 @@ class ToxicityModel:
         self.rows = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
         dense = self.row[term] >= 0
         self.rows[self.row[term[dense]], self.example[dense]] = self.value[dense]
-        self.row_max = self.rows.reshape(len(frequent), self.blocks, BLOCK).max(axis=2) if self.blocks else self.rows
-        term, self.example, self.value = term[~dense], self.example[~dense], self.value[~dense]
+        # As wide as sums need them, which saves a conversion for each text.
+        term, self.example, self.value = term[~dense], self.example[~dense].astype(np.intp), self.value[~dense].astype(float)
         block = self.example // BLOCK
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.empty(0, np.int64)
         self.piece_at = np.concatenate((first, [len(term)]))
-        self.piece_block = block[first]
-        self.piece_max = np.maximum.reduceat(self.value, first) if len(first) else np.empty(0, np.float32)
+        self.piece_block = block[first].astype(np.intp)
+        self.piece_max = np.maximum.reduceat(self.value, first) if len(first) else np.empty(0)
         self.pieces = np.searchsorted(term[first], np.arange(size + 1))
-        self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.memo: dict[bytes, int] = {}
         self.unknown: dict[str, int] = {}
+        # Terms that a word brings along: first letters that are tied to the label.
+        starts = [[self.vocabulary[t] for t in starts_of(w) if t in self.tied] for w in self.vocabulary]
+        self.starts = np.array([(x + [-1, -1])[:2] for x in starts], np.int64).reshape(-1, 2)
+        self.new_starts: dict[int, list[int]] = {}
         return self
 
-    def _terms(self, word: bytes) -> tuple[int, ...]:
+    def _term(self, word: bytes) -> int:
+        """Number of a word's term, -1 for none; words of no example have numbers beyond the vocabulary."""
         w = normal(word)
         if not w:
-            return ()
-        own = self.vocabulary.get(w)
-        if own is None:
+            return -1
+        if (own := self.vocabulary.get(w)) is None:
             own = self.unknown.setdefault(w, len(self.vocabulary) + len(self.unknown))
-        return (own, *(self.vocabulary[t] for t in starts_of(w) if t in self.tied))
+            if brought := [self.vocabulary[t] for t in starts_of(w) if t in self.tied]:
+                self.new_starts[own] = brought
+        return own
 
     def query(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        memo, words = self.memo, Counter(text.split())
+        """Terms and weights of a text, of unit length."""
+        memo, words = self.memo, text.split()
         try:
-            hits = list(map(memo.__getitem__, words))
+            ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
         except KeyError:
             if len(memo) + len(words) > MEMO:
                 memo.clear()
                 self.unknown.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = self._terms(w)
-            hits = list(map(memo.__getitem__, words))
-        lengths = np.fromiter(map(len, hits), np.int64, len(hits))
-        flat = np.fromiter(chain.from_iterable(hits), np.int64, int(lengths.sum()))
-        at, of = np.unique(flat, return_inverse=True)
-        return self._vector(at, np.bincount(of, weights=np.repeat(np.fromiter(words.values(), float, len(words)), lengths)))
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples with positive cosine (ties by place) and their cosines; exact."""
+                self.new_starts.clear()
+            for w in set(words).difference(memo):
+                memo[w] = self._term(w)
+            ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        ids = ids[ids >= 0]
+        known = ids < len(self.starts)
+        brought = self.starts[ids[known]].ravel()
+        more = [t for i in ids[~known].tolist() if i in self.new_starts for t in self.new_starts[i]] if self.new_starts else []
+        return self._vector(*np.unique(np.concatenate((ids, brought[brought >= 0], np.array(more, np.int64))), return_counts=True))
+
+    def dense_scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the rows of frequent terms add to each example's cosine, for several queries by one product."""
+        q = np.zeros((len(queries), len(self.rows)), np.float32)
+        for k, (at, w) in enumerate(queries):
+            row = self.row[at]
+            q[k, row[row >= 0]] = w[row >= 0]
+        return q @ self.rows
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples with positive cosine (ties by place) and their cosines; exact. ``dense``: its row of ``dense_scores``."""
         if not len(at) or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
-        q, row = w.astype(np.float32), self.row[at]
-        dense = row >= 0
-        q_rows = np.zeros(len(self.rows), np.float32)
-        q_rows[row[dense]] = q[dense]
-        a, b = self.pieces[at[~dense]], self.pieces[at[~dense] + 1]
-        piece, q_piece = _ranges(a, b), np.repeat(q[~dense], b - a)
+        dense = (self.dense_scores([(at, w)])[0] if dense is None else dense).reshape(-1, BLOCK)
+        listed = self.row[at] < 0
+        q, terms = w[listed], at[listed]
+        a, b = self.pieces[terms], self.pieces[terms + 1]
+        piece, q_piece = _ranges(a, b), np.repeat(q, b - a)
         block = self.piece_block[piece]
-        bound = q_rows @ self.row_max + np.bincount(block, weights=q_piece * self.piece_max[piece], minlength=self.blocks)
-        bound *= 1 + 1e-5
+        bound = (dense.max(axis=1) + np.bincount(block, weights=q_piece * self.piece_max[piece], minlength=self.blocks)) * (1 + 1e-5)
         order = np.argsort(-bound, kind="stable")
         best_i, best_s = np.empty(0, np.int64), np.empty(0, np.float32)
         for some in (order[:FIRST], order[FIRST:]):
-            floor = best_s[-1] if len(best_s) == self.k else 0.0
+            floor = best_s[-1] if len(best_s) == self.k else np.float32(0)
             some = some[(bound[some] > 0) & (bound[some] >= floor)]
             if not len(some):
                 break
-            place = np.full(self.blocks, -1, np.int64)
-            place[some] = np.arange(len(some))
-            use = place[block] >= 0
+            chosen = np.zeros(self.blocks, bool)
+            chosen[some] = True
+            use = np.flatnonzero(chosen[block])
             p = piece[use]
             a, b = self.piece_at[p], self.piece_at[p + 1]
             post = _ranges(a, b)
-            example = self.example[post]
-            local = place[example // BLOCK] * BLOCK + example % BLOCK
-            s = np.bincount(local, weights=np.repeat(q_piece[use], b - a) * self.value[post], minlength=len(some) * BLOCK)
-            of = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            if 4 * len(some) > self.blocks:
-                s = s + (q_rows @ self.rows).reshape(-1, BLOCK)[some].ravel()
-            else:
-                s = s + np.concatenate([q_rows @ self.rows[:, x * BLOCK : (x + 1) * BLOCK] for x in some])
-            ok = np.flatnonzero((s > 0) & (of != skip) & (s >= floor))
-            i, s = np.concatenate((best_i, of[ok])), np.concatenate((best_s, s[ok].astype(np.float32)))
+            s = np.bincount(self.example[post], weights=np.repeat(q_piece[use], b - a) * self.value[post], minlength=self.blocks * BLOCK).reshape(-1, BLOCK)
+            s = (s[some] + dense[some]).ravel().astype(np.float32)
+            ok = np.flatnonzero((s > 0) & (s >= floor))
+            if len(ok) > 4 * self.k:  # all that reach the k-th largest, one more for the one to skip
+                ok = ok[s[ok] >= np.partition(s[ok], len(ok) - self.k - 1)[len(ok) - self.k - 1]]
+            of = some[ok // BLOCK] * BLOCK + ok % BLOCK
+            here = of != skip
+            i, s = np.concatenate((best_i, of[here])), np.concatenate((best_s, s[ok[here]]))
             top = np.lexsort((i, -s))[: self.k]
             best_i, best_s = i[top], s[top]
         return best_i, best_s.astype(float)
 
-    def vote(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        i, s = self.nearest(at, w, skip)
+    def vote(self, at: np.ndarray, w: np.ndarray, skip: int = -1, dense: np.ndarray | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
+        i, s = self.nearest(at, w, skip, dense)
         if not len(i):
             return None, i, s
         share = s * s * self.vote_weight[i]
@@ -277,7 +289,7 @@ class ToxicityModel:
         self.values = np.array([(p[1] + prior) / (p[0] + 1) for p in pools] or [prior])
         w = weight[y[silent]] if silent else np.empty(0)
         self.silent = float(((w * y[silent]).sum() if silent else 0.0) + prior) / float(w.sum() + 1)
-        for name in ("example", "value", "row", "rows", "row_max", "piece_at", "piece_block", "piece_max", "pieces", "memo", "unknown"):
+        for name in ("example", "value", "row", "rows", "piece_at", "piece_block", "piece_max", "pieces", "memo", "unknown", "starts", "new_starts"):
             delattr(self, name)
 
     @classmethod
@@ -285,14 +297,22 @@ class ToxicityModel:
         """The open model, kept in a Python worker between tasks."""
         return held((cls, model.name), model.open)
 
+    def scores(self, data: list[bytes]) -> list[tuple[float, str]]:
+        """For each text its probability and evidence, ``id:cosine`` of the three nearest examples."""
+        out = []
+        for k in range(0, len(data), BATCH):
+            queries = [self.query(t) for t in data[k : k + BATCH]]
+            for q, dense in zip(queries, self.dense_scores(queries)):
+                v, i, s = self.vote(*q, dense=dense)
+                p = self.silent
+                if v is not None:
+                    # The vote orders documents within a step.
+                    p = 0.999 * self.values[min(int(np.searchsorted(self.knots, v)), len(self.values) - 1)] + 0.001 * v
+                out.append((float(min(1.0, max(0.0, p))), ",".join(f"{self.ids[a]}:{b:.4f}" for a, b in zip(i[:3], s[:3]))))
+        return out
+
     def score(self, text: bytes) -> tuple[float, str]:
-        """Probability and evidence, ``id:cosine`` of the three nearest examples."""
-        v, i, s = self.vote(*self.query(text))
-        if v is None:
-            return min(1.0, max(0.0, self.silent)), ""
-        at = min(int(np.searchsorted(self.knots, v)), len(self.values) - 1)
-        p = 0.999 * self.values[at] + 0.001 * v  # the vote orders documents within a step
-        return float(min(1.0, max(0.0, p))), ",".join(f"{self.ids[a]}:{b:.4f}" for a, b in zip(i[:3], s[:3]))
+        return self.scores([text])[0]
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -344,7 +364,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = ToxicityModel.opened(model)
         for batch in batches:
-            scored = [opened.score(t) for t in texts(batch)]
+            scored = opened.scores(texts(batch))
             p = [s for s, _ in scored]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([e for _, e in scored], pa.string())], schema=schema)
 
