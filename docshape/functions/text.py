@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -94,6 +95,14 @@ def field_name(name: Column) -> Column:
     return x
 
 
+def plain_field_name(name: str) -> str:
+    """``field_name`` of one string, for code that runs in Python anyway."""
+    x = re.sub("([a-z])([A-Z])", r"\1_\2", re.sub(r"(?a)^\s+|\s+$", "", name)).lower()
+    for pattern, by in ((r"(?a)[-.\s]+", "_"), ("[^a-z0-9_]", ""), ("_+", "_"), ("^_|_$", "")):
+        x = re.sub(pattern, by, x)
+    return x
+
+
 def words_jaccard(a: Column, b: Column) -> Column:
     """Overlap of two descriptions' lower-case words; 0 where either has none."""
     words = [F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda w: w != "")) for x in (a, b)]

@@ -176,7 +176,7 @@ def merge_field_lists(spark, d):
 
 
 _FREQ = f"""{_FOUND}, t AS (SELECT cluster_id, count(*) AS n_docs FROM r GROUP BY 1),
-freq AS (SELECT cluster_id, norm AS name, count(DISTINCT doc_id) AS doc_count, n_docs, round(least(count(DISTINCT doc_id) * 100.0 / n_docs, 100), 1) AS frequency FROM found JOIN t USING (cluster_id) WHERE norm <> '' GROUP BY cluster_id, norm, n_docs)"""
+freq AS (SELECT cluster_id, norm AS name, count(DISTINCT doc_id) AS doc_count, count(DISTINCT CASE WHEN quote <> '' THEN doc_id END) AS grounded_count, n_docs, round(least(count(DISTINCT doc_id) * 100.0 / n_docs, 100), 1) AS frequency FROM found JOIN t USING (cluster_id) WHERE norm <> '' GROUP BY cluster_id, norm, n_docs)"""
 
 
 def frequencies(spark: SparkSession, d: str) -> DataFrame:

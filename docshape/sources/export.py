@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,10 +41,11 @@ def entities(fields: DataFrame) -> DataFrame:
 
 
 def json_schema(fields: DataFrame) -> DataFrame:
-    """``cluster_id``, ``json_schema``: draft 2020-12, built in the JVM."""
+    """``cluster_id``, ``json_schema``: draft 2020-12, built in the JVM; up to five examples a field."""
     kind = F.when(F.col("type").isin(*_JSON_TYPE), F.col("type")).otherwise("string")
-    examples = F.when(F.coalesce("example", F.lit("")) != "", F.array("example"))
-    of = F.struct(kind.alias("type"), F.col("description"), F.when(F.col("type") == "date", "date").alias("format"), examples.alias("examples"))
+    one = F.when(F.coalesce("example", F.lit("")) != "", F.array("example"))
+    shown = F.coalesce(F.when(F.size("examples") > 0, F.slice("examples", 1, 5)), one) if "examples" in fields.columns else one
+    of = F.struct(kind.alias("type"), F.col("description"), F.when(F.col("type") == "date", "date").alias("format"), shown.alias("examples"))
     rows = fields.groupBy("cluster_id").agg(_lines(F.struct(F.col("name"), of.alias("of"))).alias("p"), F.filter(_lines(F.when(F.col("required"), F.col("name"))), lambda x: x.isNotNull()).alias("required"))
     whole = F.struct(F.lit(_DRAFT).alias("$schema"), F.col("cluster_id").alias("title"), F.lit("object").alias("type"), F.map_from_entries("p").alias("properties"), F.col("required"))
     return rows.select("cluster_id", F.to_json(whole).alias("json_schema"))
@@ -55,6 +56,24 @@ def spark_schema(fields: list[dict[str, Any]]) -> T.StructType:
     return T.StructType([T.StructField(f["name"], _SPARK_TYPE.get(f.get("type"), T.StringType()), True) for f in fields])
 
 
+def as_dict(result: Any) -> dict[str, Any]:
+    """A discovery's result: stats, clusters, schemas (fields by falling frequency), groups, shared fields, document names and clusters."""
+    rows = lambda df: [r.asDict(True) for r in df.collect()]
+    return {
+        "stats": result.stats, "clusters": rows(result.clusters.orderBy("cluster_id")), "schemas": rows(result.fields.orderBy("cluster_id", F.desc("frequency"), "ord")), "groups": rows(result.groups),
+        "shared": rows(result.shared), "merges": rows(result.merges), "documents": rows(result.assignments.select("name", "cluster_id").orderBy("name")),
+    }
+
+
 def payload(result: Any, indent: int | None = 2) -> str:
-    """A discovery's result as JSON: stats, clusters, schemas, document names and clusters."""
-    return json.dumps({"stats": result.stats, "clusters": [r.asDict(True) for r in result.clusters.collect()], "schemas": [r.asDict(True) for r in result.fields.orderBy("cluster_id", "ord").collect()], "documents": [r.asDict() for r in result.assignments.select("name", "cluster_id").orderBy("name").collect()]}, indent=indent, default=str)
+    """``as_dict`` as JSON."""
+    return json.dumps(as_dict(result), indent=indent, default=str)
+
+
+def demo_payload(result: Any, most: int = 500) -> dict[str, Any]:
+    """What a page that shows a result needs: ``as_dict``, and of at most ``most`` documents a type their points and which fields they have."""
+    shown = result.assignments.select("doc_id", "name", "cluster_id", "coord_3d")
+    few = Window.partitionBy("cluster_id").orderBy("doc_id")
+    points = shown.withColumn("at", F.row_number().over(few)).where(F.col("at") <= most).drop("at")
+    held = result.matrix.where("present").join(points.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("fields"))
+    return as_dict(result) | {"points": [r.asDict(True) for r in points.join(held, "doc_id", "left").orderBy("cluster_id", "name").collect()]}
