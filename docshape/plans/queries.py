@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docshape.functions import text as T
-from docshape.operators import cluster, embed, fields, grouping, metrics, presence, similar
+from docshape.operators import cluster, embed, fields, grouping, judged, metrics, presence, similar
 from docshape.sources import export, files
 from docshape.sources.rendered import SQL as RENDERED
 from docshape.sources.rendered import rendered
@@ -315,20 +315,40 @@ def export_entities(spark, d):
     return export.entities(_with_ord(spark, d))
 
 
-@query()
+_PROPERTY = """to_json(name)::VARCHAR || ':{"type":"' || CASE WHEN type IN ('number', 'integer', 'boolean') THEN type ELSE 'string' END || '","description":' || to_json(description)::VARCHAR || CASE WHEN type = 'date' THEN ',"format":"date"' ELSE '' END || ',"examples":[' || to_json(example)::VARCHAR || ']}'"""
+
+
+@query(f"""WITH {_ALL} SELECT cluster_id, '{{"$schema":"https://json-schema.org/draft/2020-12/schema","title":"' || cluster_id || '","type":"object","properties":{{' || string_agg({_PROPERTY}, ',' ORDER BY ord) || '}},"required":[' || coalesce(string_agg(to_json(name)::VARCHAR, ',' ORDER BY ord) FILTER (required), '') || ']}}' AS json_schema FROM fld GROUP BY 1""")
 def export_json_schema(spark, d):
     return export.json_schema(_with_ord(spark, d))
 
 
-@query()
+def _sql_last(mark: str) -> str:
+    """Place (from 0) of the last ``mark`` that begins past a third of the chunk and ends in it, -1 for none."""
+    window = "substr(text, pos + 1334, 2667)"
+    return f"CASE WHEN contains({window}, {mark}) THEN pos + 1333 + length({window}) - position(reverse({mark}) IN reverse({window})) - length({mark}) + 1 ELSE -1 END"
+
+
+_MARKS = [("chr(10) || chr(10)", 0), ("'. '", 1), ("'.' || chr(10)", 1), ("'! '", 1), ("'? '", 1), ("chr(10)", 0), ("' '", 1)]
+_TO = "CASE WHEN pos + 4000 >= length(text) THEN pos + 4000 " + " ".join(f"WHEN {_sql_last(m)} >= 0 THEN {_sql_last(m)} + {extra}" for m, extra in _MARKS) + " ELSE pos + 4000 END"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT doc_id, text FROM documents WHERE trim(coalesce(text, ''), {_BLANK}) <> ''), cut AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS upto, CAST('' AS VARCHAR) AS part, 0 AS step FROM t WHERE length(text) > 4000
+UNION ALL SELECT doc_id, text, nxt, nxt, trim(substr(text, CAST(pos AS INT) + 1, CAST(nxt - pos AS INT)), {_BLANK}), step + 1 FROM (SELECT *, {_TO} AS nxt FROM cut WHERE pos < length(text))),
+parts AS (SELECT doc_id, text AS part, 1 AS step FROM t WHERE length(text) <= 4000 UNION ALL SELECT doc_id, part, step FROM cut WHERE step > 0 AND part <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INT) AS chunk, CAST(length(part) AS INT) AS n_chars, md5(part) AS digest FROM parts"""
+)
 def chunk_documents(spark, d):
     from docshape.functions.chunks import chunks
 
     return _docs(spark, d).select("doc_id", F.posexplode(chunks(F.col("text"), 4000)).alias("chunk", "part")).select("doc_id", "chunk", F.char_length("part").alias("n_chars"), F.md5("part").alias("digest"))
 
 
-@query()
+@query("SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events")
 def json_repair(spark, d):
+    """Replies with prose before the JSON, every other one cut short by a character, come out whole."""
     from docshape.functions.jsonfix import repaired
 
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "props")
@@ -336,6 +356,52 @@ def json_repair(spark, d):
     return e.select("event_id", repaired(cut).alias("props"))
 
 
+@query(f"WITH {_FREQ}, m AS (SELECT r.cluster_id, r.doc_id, freq.name FROM r JOIN freq USING (cluster_id)), o AS (SELECT cluster_id, doc_id, norm AS name, min(quote) AS quote FROM found WHERE norm <> '' GROUP BY ALL) SELECT m.*, o.quote IS NOT NULL AS present, o.quote FROM m LEFT JOIN o USING (cluster_id, doc_id, name)")
+def presence_matrix(spark, d):
+    docs = rendered(spark, d)
+    found = written(presence.extract_fields(docs), "found")
+    return presence.presence_matrix(docs, presence.field_frequency(docs, found), found)
+
+
+@query(f"WITH {_FOUND}, f AS (SELECT cluster_id, doc_id, norm, first(quote ORDER BY line) AS quote, first(value ORDER BY line) AS value, true AS grounded FROM found WHERE norm <> '' GROUP BY 1, 2, 3) SELECT * FROM f")
+def verify_fields(spark, d):
+    from docshape.plans.analyst import RuleAnalyst
+
+    docs = rendered(spark, d)
+    return judged.verify_fields(docs, frequencies(spark, d), RuleAnalyst())
+
+
+_EIGHT = "s AS (SELECT cluster_id, doc_id, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY cluster_id) AS n FROM r), few AS (SELECT cluster_id, doc_id FROM s WHERE n <= 8 OR i IN (0, n // 8, 2 * n // 8, 3 * n // 8, 4 * n // 8, 5 * n // 8, 6 * n // 8, 7 * n // 8))"
+
+
+@query(
+    f"""WITH {_FOUND}, {_EIGHT}, x AS (SELECT found.* FROM found JOIN few USING (cluster_id, doc_id) WHERE norm <> '')
+SELECT cluster_id, norm AS name, coalesce(first(type ORDER BY doc_id, line) FILTER (type <> 'string'), 'string') AS type, first(quote ORDER BY length(quote) DESC, doc_id, line) AS description, first(value ORDER BY doc_id, line) AS example FROM x GROUP BY 1, 2"""
+)
+def discover_fields(spark, d):
+    from docshape.plans.analyst import RuleAnalyst
+
+    samples = fields.systematic_sample(rendered(spark, d), "cluster_id", "doc_id", 8)
+    return judged.discover_fields(samples, RuleAnalyst()).select("cluster_id", "name", "type", "description", "example")
+
+
+@query(f"WITH r AS ({RENDERED}), n AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) AS i FROM r), h AS (SELECT cluster_id, string_split(text, chr(10))[1] AS head, count(*) AS c, (SELECT count(*) FROM n x WHERE x.cluster_id = n.cluster_id AND x.i <= 5) AS k FROM n WHERE i <= 5 GROUP BY 1, 2), b AS (SELECT cluster_id, first(head ORDER BY c DESC, head) AS head, max(k) AS k FROM h GROUP BY 1) SELECT cluster_id, head[1] || lower(head[2:]) AS name, k || ' documents like: ' || head[1] || lower(head[2:]) AS description FROM b")
+def cluster_labels(spark, d):
+    from docshape.plans.analyst import RuleAnalyst
+    from docshape.plans.pipeline import first_texts
+
+    return judged.label_clusters(first_texts(rendered(spark, d)), RuleAnalyst()).select("cluster_id", "name", "description")
+
+
+@query()
+def group_fields(spark, d):
+    from docshape.plans.analyst import RuleAnalyst
+
+    listed = written(_with_ord(spark, d), "listed")
+    types = listed.select("cluster_id", F.initcap("cluster_id").alias("name")).distinct()
+    return judged.group_fields(listed, types, RuleAnalyst())
+
+
 @query()
 def embed_documents(spark, d):
     return embed.embed_documents(_docs(spark, d)).select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
