@@ -78,5 +78,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_OP3 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s), x AS (SELECT doc_id, unnest(sh) AS t FROM s),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM met JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 60 * (na.n + nb.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS root FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a)
+SELECT n.doc_id, n.n AS n_shingles, (SELECT count(*) FROM l WHERE l.a = n.doc_id) AS n_similar, (SELECT min(root) FROM r WHERE r.a = n.doc_id) AS component_id FROM n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of whole results. The others use hashes, transforms, tokenizers or fitted models that SQL lacks; tests compare them with brute force."""
+    return {"op3_ngram_jaccard_join": _OP3}
