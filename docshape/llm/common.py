@@ -1,12 +1,8 @@
-"""Shared helpers: reading tables, cutting lineage, Arrow columns."""
+"""Shared helpers: reading tables, bit filters, Arrow columns; tables that end lineage are ``docshape.storage``'s."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
@@ -15,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docshape.storage import drop_written, work_folder, written
+
+__all__ = ["bit_filter", "drop_written", "held", "in_filter", "maybe_in", "n_words", "table", "texts", "tokenizer_path", "trim", "work_folder", "written"]
 T = TypeVar("T")
 #: A word: a maximal run without ASCII white space (``bytes.split()`` yields the same words).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,37 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all executors are in this process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        local = tempfile.mkdtemp(prefix="docshape-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        folder = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a ``written`` table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def trim() -> None:
     """Gives memory that was freed back to the system: an idle Python worker would keep it."""
     pa.default_memory_pool().release_unused()

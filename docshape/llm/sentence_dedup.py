@@ -13,9 +13,10 @@ full stops at least L - 29 lie between equal cuts: of 51 words 22, which hold a
 Up to 14 words at either end may stay, and a sentence of at most ``LONG_WORDS`` words
 that shares only a part stays whole.
 
-Plan: an Arrow map over whole texts emits one row of four numbers a span; one shuffle
-by hash brings equal spans together, where a window takes their first place (it spills
-the rows of a frequent span). Removed spans meet their document by a hash of the row.
+Plan: an Arrow map over whole texts emits one row of four numbers a span; hashes alone
+are counted (partial sums first), a bit filter of the repeated ones leaves single spans
+where they are, and one shuffle by hash brings the others together, where a window takes
+their first place (it spills the rows of a frequent span). Removed spans meet their document by a hash of the row.
 
 Defined cases: null text stays null, empty stays empty; texts shorter than a span
 stay whole; repeats inside one document go as well; rows equal in id and text are
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docshape.llm.common import written
+from docshape.llm.common import bit_filter, maybe_in, written
 
 LEAST_SENTENCES, LEAST_WORDS, LONG_WORDS, WINDOW = 2, 20, 24, 8
 _END = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)|\n")
@@ -119,6 +120,9 @@ def sentence_spans(own: DataFrame) -> DataFrame:
 
 def repeated_spans(found: DataFrame) -> DataFrame:
     """(row_key, places as ``place << 32 | length``) of the spans that aren't the first of their hash."""
+    # Most spans occur once: their hashes are counted first, and only repeated ones move with their places.
+    counted = written(found.groupBy("span").count().where("count > 1").select("span"), "repeated")
+    found = found.where(maybe_in(F.col("span"), bit_filter(counted, counted.count())))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "covered")
     later = found.withColumn("first", F.min(order).over(Window.partitionBy("span"))).where((F.col("row_key") != F.col("first.row_key")) | (F.col("covered") != F.col("first.covered")))
     # A document's rows are bounded by its sentences.

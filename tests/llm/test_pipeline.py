@@ -88,3 +88,25 @@ def test_stages_take_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DIR)
         assert out.count() == 0
+
+
+def test_stages_take_nulls_long_texts_ties_and_clashing_columns(spark):
+    prose = "the quiet river ran past old houses where people told each other long stories about the sea and the cold winter "
+    rows = [(1, prose, "en", "a"), (2, prose, "en", "a"), (2, prose, "en", "a"), (3, prose.upper(), None, None), (None, prose + "alone with nobody else near", "en", "a"), (4, None, "en", "a"), (5, "", "de", "b"), (6, "short", "de", "b")]
+    rows += [(7, " ".join(f"word{i} and{i % 7}" for i in range(200_000)), "en", "b"), (8, "a note with password=abcdefghijklmno in it " + " ".join(f"x{i}" for i in range(30)), "en", "b")]
+    names = ["doc_id", "text", "lang", "source", "row_id", "key", "h", "stratum", "copies", "row", "a.b"]
+    docs = spark.createDataFrame([(*r, i, "k", i % 3, "s", None, float(i), True) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, row_id int, key string, h int, stratum string, copies int, row double, `a.b` boolean")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, DIR)
+        if name != "packing":
+            assert got.columns == names, name
+        out[name] = got.collect()
+    kept = [(r.doc_id, r.row_id) for r in out["quality rules"]]
+    assert {i for i, _ in kept} <= {None, 1, 2, 3, 7, 8} and len(kept) == len(set(kept)) and {1, 2, 3, None} <= {i for i, _ in kept}
+    assert sorted((r.doc_id for r in out["near duplicates"]), key=str) == [1, 4, 5, 6, 7, 8] and all(r.key == "k" for r in out["near duplicates"])
+    masked = {r.row_id: r for r in out["secret scans"]}
+    assert len(masked) == len(rows) and masked[5].text is None and masked[9].text.startswith("a note with [secret] in it") and masked[8].text == rows[8][1]
+    assert all(r.text and r.text.strip() for r in out["source mixing"]) and {r.row_id for r in out["source mixing"]} <= {0, 1, 2, 3, 4, 7, 8, 9}
+    packed = Counter(r.doc_id for r in out["packing"] if r.piece == 0)
+    assert packed == Counter(r[0] for r in rows) and sum(r.length for r in out["packing"] if r.doc_id == 7) > 400_000
