@@ -8,6 +8,15 @@ read again as the next one's ``docs``; all but the last return the documents' co
 3. secret scans: every secret in a text is masked, the document stays;
 4. mixing: documents are repeated or left out until each source gives its share;
 5. packing: documents are tokenized and packed into sequences.
+
+Defined cases, in every stage: columns beside doc_id, text, lang, source are kept as they
+are, whatever their names; an empty table gives an empty one; texts of any length are
+read whole. Null or empty texts fail the quality rules (stage 1); given to the others
+they stay (2: each is a group of its own; 3: null stays null; 5: the end token alone),
+but a mix takes no document without words (4). A null id is the largest (2) and stays
+null; a null language or source is one of its own. Of rows that are equal in id and
+text one stays (2); elsewhere each counts for itself. Of equal texts the smallest id
+stays (2); equal sizes are chosen from by hash (4).
 """
 
 from __future__ import annotations
