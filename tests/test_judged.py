@@ -150,3 +150,16 @@ def test_nearest_refuses_many_references(spark):
     got = {r.vec_id: (r.ref_id, r.distance) for r in cluster.nearest_cluster(v, v.where("vec_id in (0, 2, 9)")).collect()}
     assert got[1] == (0, 1.0) and got[15] == (9, 6.0) and cluster.nearest_cluster(v, v.limit(0)).count() == 0
     assert {r.label: r.embedding for r in cluster.centres(v.where("label < 2")).collect()} == {0: [0.0, 0.0], 1: [1.0, 0.0]}
+
+
+def test_fixtures_and_demo(spark, tmp_path):
+    from docshape import demo
+    from docshape.sources.fixtures import fixtures
+
+    rows = fixtures(spark, 30).orderBy("doc_id").collect()
+    assert rows == fixtures(spark, 30).repartition(3).orderBy("doc_id").collect() and rows != fixtures(spark, 30, seed=8).orderBy("doc_id").collect()
+    assert {r.doc_type for r in rows} == {"inspection", "fault report", "bulletin"} and all(r.text and r.name.endswith(f"{r.doc_id:06d}.txt") for r in rows)
+    out = tmp_path / "demo.json"
+    assert demo.main([str(out), "-n", "30"]) == 0
+    shown = json.loads(out.read_text())
+    assert {"Inspection Record", "Fault Report", "Service Bulletin"} == {c["name"] for c in shown["clusters"]} and len(shown["points"]) == 30
