@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docshape.llm.common import table, tokenizer_path, written
+from docshape.llm.common import drop_written, table, tokenizer_path, written
 from docshape.llm.jaccard import one_per_group
 from docshape.llm.mixing import mixed_documents
 from docshape.llm.packing import pack_documents
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, spent = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if spent is not None:
+            drop_written(spent)
+        spent = docs
     return STAGES[-1][1](spark, docs, sf_dir)
