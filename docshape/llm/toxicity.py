@@ -69,12 +69,13 @@ def starts_of(word: str) -> list[str]:
     return [f"{n}:{word[:n]}" for n in (4, 5) if len(word) > n]
 
 
-def with_starts(words: Counter) -> Counter:
-    """Word counts, and those of the words' first letters."""
+def with_starts(words: Counter, only: frozenset[str] | None = None) -> Counter:
+    """Word counts, and those of the words' first letters (all, or ``only`` some)."""
     out = Counter(words)
     for w, n in words.items():
         for t in starts_of(w):
-            out[t] += n
+            if only is None or t in only:
+                out[t] += n
     return out
 
 
@@ -86,9 +87,10 @@ def _telling(counted: list[Counter], labels: np.ndarray, halves: np.ndarray) ->
         n, p = len(own), int(labels[own].sum())
         df, dfp = Counter(), Counter()
         for i in own:
-            df.update(counted[i].keys())
+            terms = with_starts(counted[i]).keys()
+            df.update(terms)
             if labels[i]:
-                dfp.update(counted[i].keys())
+                dfp.update(terms)
         now = {}
         for t, c in df.items():
             if c < LEAST or (h and t not in score):
@@ -118,9 +120,9 @@ class ToxicityModel:
         self.at, self.of, self.weight = np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.float32)
         if not len(y) or y.min() == y.max():
             return
-        counted = [with_starts(words[i]) for i in keep]
+        counted = [words[i] for i in keep]
         self.tied = frozenset(t for _, t in _telling(counted, y, np.array([halves[i] & 1 for i in keep])))
-        counted = [Counter({t: n for t, n in c.items() if ":" not in t or t in words[i] or t in self.tied}) for i, c in zip(keep, counted)]
+        counted = [with_starts(c, self.tied) for c in counted]
         df = Counter(t for c in counted for t in c)
         self.vocabulary = {t: j for j, t in enumerate(sorted(df))}
         self.rare = math.log(1 + len(y)) + 1

@@ -57,3 +57,42 @@ def test_packed_whole(spark, tokenizer):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def naive_best_two_fit(lengths, capacity):
+    """The same choices over plain lists: contents of the bins in order."""
+    left, bins = sorted(lengths), []
+    while left:
+        gap, held = capacity, []
+        while fits := [x for x in left if x <= gap]:
+            held.append(max(fits))
+            left.remove(max(fits))
+            gap -= held[-1]
+        if gap and len(held) > 1 and left:
+            smallest = held[-1]
+            pairs = [(a + b, a, b) for i, b in enumerate(left) for a in left[i + 1 :] if smallest < a + b <= gap + smallest]
+            if pairs:
+                _, a, b = max(pairs)
+                held.pop()
+                left.remove(a)
+                left.remove(b)
+                held += [a, b]
+                left = sorted([*left, smallest])
+        bins.append(held)
+    return bins
+
+
+def test_best_two_fit_equals_the_naive_one():
+    import random
+
+    from docshape.llm.packing import best_two_fit
+
+    rng = random.Random(6)
+    for _ in range(300):
+        capacity = rng.choice([10, 30, 100])
+        lengths = [rng.randint(1, capacity if rng.random() < 0.3 else max(1, capacity // 3)) for _ in range(rng.randint(1, 40))]
+        bins, offsets = best_two_fit(np.array(lengths), capacity)
+        got = {}
+        for b, o, n in sorted(zip(bins.tolist(), offsets.tolist(), lengths)):
+            got.setdefault(b, []).append(n)
+        assert [got[b] for b in sorted(got)] == naive_best_two_fit(lengths, capacity)
