@@ -60,7 +60,7 @@ def as_dict(result: Any) -> dict[str, Any]:
     """A discovery's result: stats, clusters, schemas (fields by falling frequency), groups, shared fields, document names and clusters."""
     rows = lambda df: [r.asDict(True) for r in df.collect()]
     return {
-        "stats": result.stats, "clusters": rows(result.clusters.orderBy("cluster_id")), "schemas": rows(result.fields.orderBy("cluster_id", F.desc("frequency"), "ord")), "groups": rows(result.groups),
+        "stats": result.stats, "clusters": rows(result.clusters_with_parts().orderBy("cluster_id")), "schemas": rows(result.fields.orderBy("cluster_id", F.desc("frequency"), "ord")), "groups": rows(result.groups),
         "shared": rows(result.shared), "merges": rows(result.merges), "documents": rows(result.assignments.select("name", "cluster_id").orderBy("name")),
     }
 
