@@ -14,9 +14,11 @@ documents. A stratum with too few good labels in the holdout (71 at the defaults
 four strata) gets no cutoffs and rejects nothing by these rules.
 
 Plan: one Arrow map turns whole texts into a dozen numbers a document (no shuffle).
-The path is fitted on at most ``DESIGN`` documents of a stratum and label, chosen by
-hash (a documented bound; it only affects usefulness); the test runs over the whole
-holdout, counted per stratum and step before the driver sees it.
+The path is fitted on the whole first half: its documents are counted by the levels
+their ratios reach (the number of cutoffs each exceeds), and every step is chosen for
+all strata at once from one count of those left by stratum, label, rule and level, so
+that the driver holds 732 numbers a stratum however many the labels. The test runs
+over the whole holdout, counted per stratum and step before the driver sees it.
 
 Defined cases: null or empty text has no words (and fails the base rules); null
 language is a stratum of its own; labels that disagree count as good; null labels
@@ -28,11 +30,11 @@ texts are counted whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docshape.llm.common import bit_filter, drop_written, held, maybe_in, texts, written
@@ -51,11 +53,12 @@ RULES = {
 }
 #: Cutoffs that may be chosen, from lenient to strict; fixed beforehand, so that they don't depend on the labels.
 GRIDS = {r: [round(2.0 * 0.9**k, 6) for k in range(60)] for r in RULES} | {"word_length": [round(60 * 0.95**k, 6) for k in range(60)]}
+#: The same from strict to lenient. A ratio's level is the number of them that it exceeds.
+_ASCENDING = {r: sorted(g) for r, g in GRIDS.items()}
+_TOP = len(GRIDS["symbols"])
 
 #: A good document rejected weighs as much as so many bad ones kept (in shares).
 CARE = 10.0
-#: Documents of a stratum and label that its path is designed on, at most.
-DESIGN = 2000
 
 
 def repeated_words(words: list[bytes], window: int = _WINDOW) -> int:
@@ -133,29 +136,67 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return 1 - front * f if flip else front * f
 
 
+def _next_step(left: np.ndarray, cut: list[int], number: np.ndarray) -> tuple[int, int] | None:
+    """The rule and the level that are most useful to cut at next, if any is. ``left`` counts documents by label, rule and level; ``number`` those of a label."""
+    above = left[:, :, ::-1].cumsum(axis=2)[:, :, ::-1]
+    best, step = 0.0, None
+    for k in range(len(RULES)):
+        bad, good = above[:, k, cut[k] : 0 : -1]  # lenient first: cutoffs cut[k] - 1 to 0 reject the levels above them
+        gain = bad / number[0] - CARE * good / number[1]
+        at = int(gain.argmax()) if len(gain) else 0
+        if len(gain) and gain[at] > best + 1e-12:
+            best, step = float(gain[at]), (k, cut[k] - 1 - at)
+    return step
+
+
+def design_paths(counted: Callable[[dict[str | None, list[int]]], dict[str | None, np.ndarray]]) -> dict[str | None, list[tuple[float, ...]]]:
+    """Per stratum nested cutoffs, one of each rule (infinite: none), each step the most useful next one; ends where none is of use.
+
+    ``counted`` takes the strata that go on and the level each rule is cut at there (none:
+    all strata, uncut), and counts their documents left by label, rule and level.
+    """
+    left = counted({})
+    number = {s: np.maximum(1, x[:, 0].sum(axis=1)) for s, x in left.items()}
+    cuts = {s: [_TOP] * len(RULES) for s in left}
+    paths: dict[str | None, list[tuple[float, ...]]] = {s: [] for s in left}
+    while left:
+        on = {}
+        for s, x in left.items():
+            step = _next_step(x, cuts[s], number[s])
+            if step:
+                cuts[s][step[0]] = step[1]
+                paths[s].append(tuple(_ASCENDING[r][c] if c < _TOP else math.inf for r, c in zip(RULES, cuts[s])))
+                on[s] = cuts[s]
+        left = counted(on) if on else {}
+    return paths
+
+
 def design_path(ratios: np.ndarray, good: np.ndarray) -> list[tuple[float, ...]]:
-    """Nested cutoffs, one of each rule (infinite: none), each step the most useful next one; ends where none is of use."""
-    rules, path = list(RULES), []
-    bad, fine = ~good, good
-    cut, gone = [math.inf] * len(rules), np.zeros(len(good), bool)
-    n_bad, n_good = max(1, int(bad.sum())), max(1, int(fine.sum()))
-    while True:
-        best = (0.0, 0, 0.0)
-        for k, r in enumerate(rules):
-            left = ~gone
-            mine = (np.sort(ratios[left & bad, k]), np.sort(ratios[left & fine, k]))
-            grid = np.array([g for g in GRIDS[r] if g < cut[k]])
-            if len(grid):
-                above = [len(m) - np.searchsorted(m, grid, side="right") for m in mine]
-                gain = above[0] / n_bad - CARE * above[1] / n_good
-                at = int(gain.argmax())
-                if gain[at] > best[0] + 1e-12:
-                    best = (float(gain[at]), k, float(grid[at]))
-        if best[0] <= 0:
-            return path
-        cut[best[1]] = best[2]
-        gone |= ratios[:, best[1]] > best[2]
-        path.append(tuple(cut))
+    """The path of one stratum whose ratios are at hand."""
+    levels = np.stack([np.searchsorted(g, ratios[:, k]) for k, g in enumerate(_ASCENDING.values())], axis=1)
+
+    def counted(cuts: dict[str | None, list[int]]) -> dict[str | None, np.ndarray]:
+        stay = (levels <= cuts.get(None, _TOP)).all(axis=1)
+        return {None: np.array([[np.bincount(x, minlength=_TOP + 1) for x in levels[stay & (good == y)].T] for y in (False, True)])}
+
+    return design_paths(counted)[None]
+
+
+def _counted_left(design: DataFrame) -> Callable[[dict[str | None, list[int]]], dict[str | None, np.ndarray]]:
+    """``design_paths``'s counts of a table of (stratum, good, levels, number)."""
+
+    def counted(cuts: dict[str | None, list[int]]) -> dict[str | None, np.ndarray]:
+        left = design
+        if cuts:
+            table = design.sparkSession.createDataFrame(list(cuts.items()), "cut_stratum string, cut array<int>")
+            gone = F.exists(F.zip_with("levels", "cut", lambda x, c: x > c), lambda y: y)
+            left = design.join(F.broadcast(table), F.col("stratum").eqNullSafe(F.col("cut_stratum"))).where(~gone)
+        out: dict[str | None, np.ndarray] = {}
+        for s, y, rule, level, n in left.select("stratum", "good", F.posexplode("levels").alias("rule", "level"), "number").groupBy("stratum", "good", "rule", "level").agg(F.sum("number")).collect():
+            out.setdefault(s, np.zeros((2, len(RULES), _TOP + 1), np.int64))[y, rule, level] = n
+        return out
+
+    return counted
 
 
 def choose_step(rejected: list[int], bad: list[int], n_good: int, n_bad: int, *, alpha: float, level: float) -> int:
@@ -178,22 +219,24 @@ def _ratio(rule: str) -> Column:
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(0.0)
 
 
+def _level(rule: str, ratio: Column) -> Column:
+    return F.size(F.filter(F.lit(_ASCENDING[rule]), lambda c: ratio > c))
+
+
 def in_holdout(doc_id: Column) -> Column:
     """Whether a labelled document tests the path, rather than designs it."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 2 == 0
 
 
 def fit_cutoffs(counted: DataFrame, labels: DataFrame, *, alpha: float = 0.06, delta: float = 0.05, label_col: str = "quality") -> dict[tuple[str | None, str], float]:
-    """Learns the cutoffs from ``labels`` (doc_id, 1 for good or 0); the driver gets the designs' bounded sample and counts by step."""
+    """Learns the cutoffs from ``labels`` (doc_id, 1 for good or 0); the driver gets counts by level and by step."""
     known = known_labels(labels, label_col)
     # Documents that fail the base rules go anyway, so the cutoffs are judged on those that remain.
-    met = counted.where(~base_failed()).join(known, "doc_id").select("stratum", "good", in_holdout(F.col("doc_id")).alias("holdout"), F.col("doc_id").alias("of"), F.array(*map(_ratio, RULES)).alias("ratios"))
+    met = counted.where(~base_failed()).join(known, "doc_id").select("stratum", "good", in_holdout(F.col("doc_id")).alias("holdout"), F.array(*map(_ratio, RULES)).alias("ratios"))
     held_ = written(met, "labelled")
-    first = Window.partitionBy("stratum", "good").orderBy(F.xxhash64("of"), "of")
-    design: dict[str | None, list[tuple[bool, list[float]]]] = {}
-    for r in held_.where("not holdout").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= DESIGN).select("stratum", "good", "ratios").collect():
-        design.setdefault(r.stratum, []).append((r.good == 1, r.ratios))
-    paths = {s: design_path(np.array([x for _, x in rows], float), np.array([y for y, _ in rows])) for s, rows in design.items()}
+    levels = F.array(*(_level(r, F.col("ratios")[k]) for k, r in enumerate(RULES))).alias("levels")
+    design = written(held_.where("not holdout").groupBy("stratum", "good", levels).agg(F.count("*").alias("number")), "design")
+    paths = design_paths(_counted_left(design))
     strata = {s for s, y in held_.groupBy("stratum", "good").count().select("stratum", "good").toLocalIterator() if y == 1}
     table = held_.sparkSession.createDataFrame([(s, [list(c) for c in p]) for s, p in paths.items()], "path_stratum string, path array<array<double>>")
     # A step rejects all that the steps before it do: a document counts from the first that rejects it.
@@ -212,6 +255,7 @@ def fit_cutoffs(counted: DataFrame, labels: DataFrame, *, alpha: float = 0.06, d
         if k:
             chosen |= {(s, r): c for r, c in zip(RULES, path[k - 1]) if c < math.inf}
     drop_written(held_)
+    drop_written(design)
     return chosen
 
 

@@ -56,6 +56,60 @@ def test_path_is_nested_and_useful():
     assert gone[~good].mean() > 0.5 and gone[good].mean() < 0.05 and design_path(ratios[:0], good[:0]) == []
 
 
+def plain_path(ratios, good):
+    """``design_path`` by trying every cutoff of every rule at each step."""
+    cut, path, left = [math.inf] * len(RULES), [], list(zip(ratios.tolist(), good.tolist()))
+    number = [max(1, sum(y == k for _, y in left)) for k in (False, True)]
+    while True:
+        best, to = 0.0, None
+        for k, r in enumerate(RULES):
+            for g in (g for g in quality.GRIDS[r] if g < cut[k]):
+                gone = [y for x, y in left if x[k] > g]
+                gain = gone.count(False) / number[0] - quality.CARE * gone.count(True) / number[1]
+                if gain > best + 1e-12:
+                    best, to = gain, (k, g)
+        if not to:
+            return path
+        cut[to[0]] = to[1]
+        left = [(x, y) for x, y in left if x[to[0]] <= to[1]]
+        path.append(tuple(cut))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_path_equals_trying_every_cutoff(seed):
+    rng = np.random.default_rng(seed)
+    good = rng.random(300) < 0.6
+    ratios = np.round(rng.random((300, len(RULES))) * np.where(good, 0.6, 1.5)[:, None], 2)
+    ratios[:60, seed] = rng.choice(quality.GRIDS["symbols"], 60)  # a ratio that equals a cutoff isn't above it
+    path = design_path(ratios, good)
+    assert len(path) > 3 and path == plain_path(ratios, good)
+
+
+def test_all_of_the_first_half_designs(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(16000):  # a half has some 6,000 of one label and 2,000 of the other
+        good, lang = i % 4 > 0, None if i % 50 == 7 else "en"
+        n = 10_000
+        x = np.minimum(rng.exponential(200 if good else 600, 5), n).astype(int).tolist()
+        rows.append((i, lang, n, 5 * n + x[0], x[1], x[2], x[2], n, x[3], x[4]))
+    counted = spark.createDataFrame(rows, ", ".join(["doc_id long", "stratum string", *(f"{c} long" for c in COUNTS)])).repartition(3)
+    labels = spark.createDataFrame([(r[0], int(r[0] % 4 > 0)) for r in rows], "doc_id long, quality int")
+    want = {}
+    for lang in (None, "en"):
+        halves = {0: [], 1: []}
+        for r in (r for r in rows if r[1] == lang):
+            c = dict(zip(COUNTS, r[2:]))
+            halves[zlib.crc32(str(r[0]).encode()) % 2].append(([c[a] / c[b] for a, b in RULES.values()], r[0] % 4 > 0))
+        path = design_path(np.array([x for x, _ in halves[1]]), np.array([y for _, y in halves[1]]))
+        by_step = [[sum(y == k and any(a > b for a, b in zip(x, c)) for x, y in halves[0]) for c in path] for k in (True, False)]
+        number = [sum(y == k for _, y in halves[0]) for k in (True, False)]
+        k = choose_step(*by_step, *number, alpha=0.06, level=0.05 / 2)
+        want |= {(lang, r): c for r, c in zip(RULES, path[k - 1] if k else ()) if c < math.inf}
+    assert {s for s, _ in want} >= {"en"}
+    assert quality.fit_cutoffs(counted, labels) == want
+
+
 def test_false_rejections_stay_limited(monkeypatch):
     monkeypatch.setattr(quality, "CARE", 0.0)  # the strictest safe step is taken
     rng = random.Random(5)
