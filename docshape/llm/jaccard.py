@@ -61,6 +61,8 @@ from docshape.llm.components import connected_components
 HOT, HOT_SHARE, HOT_LEAST = 65_536, 1 / 512, 8
 #: Shingles of a block; of a bucket, about; entries of the word memo.
 BLOCK, BUCKET, MEMO = 750_000, 6_000_000, 250_000
+#: Parts of a bucket's shingles that are sorted, and of its sets that are sent, one at a time.
+SLICES = 8
 #: Rows of (class, cell), of about 60 bytes, that are sent to all tasks at most.
 FEW = 200_000
 #: Groups of a prefix shingle beyond which its pairs aren't listed but dealt to a grid of cells.
@@ -118,16 +120,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, block: int, seed: int)
     shingle = Shingler(size)
     ids, keys, sets, total = [], [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
-            s = shingle(text)
-            ids.append(doc)
-            sets.append(s)
-            keys.append(set_key(s, seed))
-            total += len(s)
-            if total >= block:
-                yield ids, keys, sets
-                ids, keys, sets, total = [], [], [], 0
-                trim()
+        for at in range(0, len(batch), 256):
+            few = batch.slice(at, 256)
+            for doc, text in zip(few.column(0).to_pylist(), texts(few)):
+                s = shingle(text)
+                ids.append(doc)
+                sets.append(s)
+                keys.append(set_key(s, seed))
+                total += len(s)
+                if total >= block:
+                    yield ids, keys, sets
+                    ids, keys, sets, total = [], [], [], 0
+                    trim()
     if ids:
         yield ids, keys, sets
 
@@ -178,17 +182,22 @@ def document_sets(docs: DataFrame, size: int, block: int, hot_least: int, seed:
     """Rows of documents (``kind`` 0: doc_id, key, n, check) and of frequent shingles (``kind`` 1: key, n)."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("check", pa.int64())])
 
+    def rows_of(ids: list, keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        _, own = _first_of_each(keys, sets)
+        token, count = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_counts=True)
+        hot = count >= max(hot_least, HOT_SHARE * len(own))
+        k, h = len(ids), int(hot.sum())
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.repeat([0, 1], [k, h]), pa.int32()), pa.array(ids + [None] * h, pa.int64()),
+            pa.array(np.concatenate((np.array(keys, np.int64), token[hot].view(np.int64)))), pa.array(np.concatenate((np.array([len(s) for s in sets], np.int64), count[hot]))),
+            pa.array([_check(s) for s in sets] + [None] * h, pa.int64()),
+        ], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, sets in _blocks(batches, size, block, seed):
-            _, own = _first_of_each(keys, sets)
-            token, count = np.unique(np.concatenate(own) if own else np.empty(0, np.uint64), return_counts=True)
-            hot = count >= max(hot_least, HOT_SHARE * len(own))
-            k, h = len(ids), int(hot.sum())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat([0, 1], [k, h]), pa.int32()), pa.array(ids + [None] * h, pa.int64()),
-                pa.array(np.concatenate((np.array(keys, np.int64), token[hot].view(np.int64)))), pa.array(np.concatenate((np.array([len(s) for s in sets], np.int64), count[hot]))),
-                pa.array([_check(s) for s in sets] + [None] * h, pa.int64()),
-            ], schema=schema)
+        for block_ in _blocks(batches, size, block, seed):
+            yield rows_of(*block_)
+        block_ = None
+        trim()  # an idle worker keeps nothing
 
     return docs.mapInArrow(run, "kind int, doc_id long, key long, n long, check long")
 
@@ -202,35 +211,42 @@ def bucketed_shingles(docs: DataFrame, size: int, block: int, hot: np.ndarray, b
     by_value = np.argsort(hot)
     sorted_hot = hot[by_value]
 
+    def rows_of(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
+        key, own = _first_of_each(keys, sets)
+        if not own:
+            return None
+        lengths = np.array([len(s) for s in own])
+        number = Counter(keys)
+        copies = np.array([number[k] for k in key.tolist()])
+        token, owner = np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), lengths)
+        at = np.minimum(np.searchsorted(sorted_hot, token), max(0, len(sorted_hot) - 1))
+        is_hot = sorted_hot[at] == token if len(sorted_hot) else np.zeros(len(token), bool)
+        rows: list[tuple] = []
+        cold, cold_owner = token[~is_hot], owner[~is_hot]
+        bucket = ((cold >> np.uint64(48)) ^ (cold * _K[1] >> np.uint64(32))) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        starts, sizes = _runs(bucket[order])
+        for s, n in zip(starts, sizes):
+            o = order[s : s + n]
+            a, c = _runs(cold_owner[o])
+            rows.append((int(bucket[o[0]]), key[cold_owner[o][a]].tobytes(), _pack_counts(c), _pack(cold[o], 6), b""))
+        rank = by_value[at[is_hot]] if is_hot.any() else np.empty(0, np.int64)
+        n_hot = np.bincount(owner[is_hot], minlength=len(own))
+        ends = np.cumsum(n_hot)
+        part = key % parts
+        for p in np.unique(part):
+            of = np.flatnonzero(part == p)
+            ranks = np.concatenate([rank[ends[i] - n_hot[i] : ends[i]] for i in of])
+            rows.append((buckets + int(p) % sizes_at(buckets), key[of].tobytes(), _pack_counts(n_hot[of]), ranks.astype("<u2").tobytes(), np.stack((lengths[of], copies[of])).astype("<u4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, keys, sets in _blocks(batches, size, block, seed):
-            key, own = _first_of_each(keys, sets)
-            if not own:
-                continue
-            lengths = np.array([len(s) for s in own])
-            number = Counter(keys)
-            copies = np.array([number[k] for k in key.tolist()])
-            token, owner = np.concatenate(own), np.repeat(np.arange(len(own)), lengths)
-            at = np.minimum(np.searchsorted(sorted_hot, token), max(0, len(sorted_hot) - 1))
-            is_hot = sorted_hot[at] == token if len(sorted_hot) else np.zeros(len(token), bool)
-            rows: list[tuple] = []
-            cold, cold_owner = token[~is_hot], owner[~is_hot]
-            bucket = ((cold >> np.uint64(48)) ^ (cold * _K[1] >> np.uint64(32))) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            starts, sizes = _runs(bucket[order])
-            for s, n in zip(starts, sizes):
-                o = order[s : s + n]
-                a, c = _runs(cold_owner[o])
-                rows.append((int(bucket[o[0]]), key[cold_owner[o][a]].tobytes(), _pack_counts(c), _pack(cold[o], 6), b""))
-            rank = by_value[at[is_hot]] if is_hot.any() else np.empty(0, np.int64)
-            n_hot = np.bincount(owner[is_hot], minlength=len(own))
-            ends = np.cumsum(n_hot)
-            part = key % parts
-            for p in np.unique(part):
-                of = np.flatnonzero(part == p)
-                ranks = np.concatenate([rank[ends[i] - n_hot[i] : ends[i]] for i in of])
-                rows.append((buckets + int(p) % sizes_at(buckets), key[of].tobytes(), _pack_counts(n_hot[of]), ranks.astype("<u2").tobytes(), np.stack((lengths[of], copies[of])).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
+            rows = rows_of(keys, sets)
+            if rows is not None:
+                yield rows
+        keys = sets = rows = None
+        trim()
 
     return docs.mapInArrow(run, _ROWS_DDL)
 
@@ -240,31 +256,52 @@ def sizes_at(buckets: int) -> int:
     return max(1, buckets // 4)
 
 
-def _joined(table: pa.Table, name: str) -> list[bytes]:
+def _joined(table: pa.Table | pa.RecordBatch, name: str) -> list[bytes]:
     return table.column(name).to_pylist()
 
 
 def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataFrame:
     """Per bucket and part: the shingles found in two sets or more, by set; rows of sizes pass through."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = key[0].as_py()
         if b >= buckets:
-            rows = [(int(np.frombuffer(r[0], np.int64, 1)[0] % parts), -1, *r) for r in zip(*(_joined(table, c) for c in ("keys", "counts", "tokens", "dfs")))]
-            return _table(rows)
-        held("jaccard")
-        keys = [np.frombuffer(k, np.int64) for k in _joined(table, "keys")]
-        counts = np.concatenate([_unpack_counts(c, len(k)) for c, k in zip(_joined(table, "counts"), keys)])
+            for batch in filter(len, batches):
+                yield _batch([(int(np.frombuffer(r[0], np.int64, 1)[0] % parts), -1, *r) for r in zip(*(_joined(batch, c) for c in ("keys", "counts", "tokens", "dfs")))])
+        else:
+            held("jaccard")
+            yield from _counted(b, batches)
+        trim()
+
+    def _counted(b: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A slice of the shingles at a time is sorted, and a slice of the sets is sent; nothing else is held twice.
+        keys, n_keys, tokens, places = [], 0, [[] for _ in range(SLICES)], [[] for _ in range(SLICES)]
+        for batch in filter(len, batches):
+            for k, c, t in zip(*(map(pa.BinaryScalar.as_buffer, batch.column(x)) for x in ("keys", "counts", "tokens"))):
+                k = np.frombuffer(k, np.int64).copy()
+                place = np.repeat(np.arange(n_keys, n_keys + len(k), dtype=np.uint32), _unpack_counts(c, len(k)))
+                t = _unpack(t, 6)
+                slice_ = (t % np.uint64(SLICES)).astype(np.uint8)
+                order = np.argsort(slice_, kind="stable")
+                ends = np.cumsum(np.bincount(slice_, minlength=SLICES))[:-1]
+                for x, own in ((tokens, t), (places, place)):
+                    for into, piece in zip(x, np.split(own[order], ends)):
+                        into.append(piece.copy())
+                keys.append(k)
+                n_keys += len(k)
+            del k, c, t  # views of the batch
+        del batch
         known, own = np.unique(np.concatenate(keys), return_inverse=True)
-        owner = np.repeat(own.astype(np.uint32), counts)
+        own = own.astype(np.uint32)
+        del keys, order, slice_, place, piece
         trim()
-        token = _unpack(b"".join(_joined(table, "tokens")), 6)
-        del table, keys, counts
-        # A slice of the shingles at a time, which bounds what sorting takes.
-        dfs, numbers, owners, found = [], [], [], 0
-        for slice_ in range(8):
-            of = np.flatnonzero((token & np.uint64(7)) == slice_)
-            t, o = token[of], owner[of]
+        part = (known % parts).astype(np.int64)
+        group = (part * SLICES // parts).astype(np.uint8)
+        dfs, found = [], 0
+        numbers, owners = ([[] for _ in range(SLICES)] for _ in range(2))
+        for slice_ in range(SLICES):
+            t, o = np.concatenate(tokens[slice_]), own[np.concatenate(places[slice_])]
+            tokens[slice_] = places[slice_] = None
             order = np.lexsort((o, t))
             t, o = t[order], o[order]
             new = np.concatenate(([True], t[1:] != t[:-1]))[: len(t)]
@@ -274,38 +311,46 @@ def count_frequencies(bucket_rows: DataFrame, buckets: int, parts: int) -> DataF
             starts = np.flatnonzero(new[fresh])
             df = np.diff(np.concatenate((starts, [len(o)])))
             shared = df > 1
-            owners.append(o[np.repeat(shared, df)])
+            o = o[np.repeat(shared, df)]
+            number = np.repeat(np.arange(found, found + int(shared.sum()), dtype=np.int32), df[shared])
+            order = np.argsort(group[o], kind="stable")
+            ends = np.cumsum(np.bincount(group[o], minlength=SLICES))[:-1]
+            for x, entries in ((numbers, number), (owners, o)):
+                for into, piece in zip(x, np.split(entries[order], ends)):
+                    into.append(piece.copy())
             dfs.append(df[shared])
-            numbers.append(np.repeat(np.arange(found, found + int(shared.sum()), dtype=np.int32), df[shared]))
             found += len(dfs[-1])
-        del token, of, t, o, order, new, fresh
-        df, owner = np.concatenate(dfs), np.concatenate(owners)
+        del t, o, order, new, fresh, number, entries, piece, own
+        trim()
+        df = np.concatenate(dfs)
         # Shared shingles are numbered by frequency, so the numbers alone give the order inside a bucket.
         by_df = np.argsort(df, kind="stable")
-        rank = np.empty(found, np.int32)
+        rank = np.empty(found, np.uint64)
         rank[by_df] = np.arange(found)
-        number = rank[np.concatenate(numbers)]
-        del owners, numbers, dfs
-        part = (known % parts).astype(np.int64)
-        order = np.lexsort((number, owner, part[owner]))
-        number, owner = number[order], owner[order]
         values, first = np.unique(df[by_df], return_index=True)
         steps = np.stack((first, values)).astype("<u4").tobytes()
         width = 3 if found < 1 << 24 else 4
-        trim()
-        rows = []
-        for s, n in zip(*_runs(part[owner])):
-            a, c = _runs(owner[s : s + n])
-            rows.append((int(part[owner[s]]), b, known[owner[s : s + n][a]].tobytes(), _pack_counts(c), _pack(number[s : s + n], width), steps))
-        out = _table(rows)
-        del rows, number, owner, order
-        trim()
-        return out
-
-    def _table(rows: list[tuple]) -> pa.Table:
-        columns = list(zip(*rows)) if rows else [[]] * 6
+        del dfs, df, by_df
+        by_part = np.argsort(part, kind="stable")
+        known, part = known[by_part], part[by_part]
+        at = np.empty(len(known), np.uint64)
+        at[by_part] = np.arange(len(known))
+        for g in range(SLICES):
+            both = at[np.concatenate(owners[g])] << np.uint64(32) | rank[np.concatenate(numbers[g])]
+            owners[g] = numbers[g] = None
+            both.sort()
+            owner, number = (both >> np.uint64(32)).astype(np.int64), both & np.uint64((1 << 32) - 1)
+            rows = []
+            for s, n in zip(*_runs(part[owner])):
+                a, c = _runs(owner[s : s + n])
+                rows.append((int(part[owner[s]]), b, known[owner[s : s + n][a]].tobytes(), _pack_counts(c), _pack(number[s : s + n], width), steps))
+            del both, owner, number
+            if rows:
+                yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "bucket", "keys", "counts", "tokens", "dfs"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "bucket", "keys", "counts", "tokens", "dfs"])
 
     # A task for each bucket, so that none has two.
     return bucket_rows.repartitionById(buckets + sizes_at(buckets), F.col("bucket")).groupBy("bucket").applyInArrow(run, "part int, bucket long, keys binary, counts binary, tokens binary, dfs binary")

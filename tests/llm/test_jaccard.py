@@ -1,8 +1,13 @@
 import random
 import re
+import tracemalloc
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from docshape.llm import jaccard
 from docshape.llm.components import connected_components
 from docshape.llm.jaccard import one_per_group, similar_documents
 
@@ -73,6 +78,55 @@ def test_templates_with_tails(spark, monkeypatch, options):
     assert got == brute(rows)
 
 
+class Grouped:
+    """Stands for a table whose groups are counted: runs the function on one group, given as it asks for it, without Spark."""
+
+    def repartitionById(self, *_):
+        return self
+
+    groupBy = repartitionById
+
+    def applyInArrow(self, f, _):
+        whole = f.__annotations__["return"] == "pa.Table"
+        return lambda key, batches: f(key, pa.Table.from_batches(batches)).to_batches() if whole else f(key, iter(batches))
+
+
+def test_a_bucket_is_counted_exactly_in_little_memory(spark):
+    rng = np.random.default_rng(3)
+    sets = {int(k): np.unique(rng.integers(0, 1 << 48, 300) if k % 9 == 0 else rng.integers(0, 40_000, 300)).astype(np.uint64) for k in rng.choice(1 << 60, 2400, replace=False)}
+    keys = list(sets)
+    # Blocks of 150 sets, some in two of them; three batches.
+    blocks = [keys[i : i + 150] + keys[:5] * (i > 0) for i in range(0, len(keys), 150)]
+    rows = [(0, np.array(b, np.int64).tobytes(), jaccard._pack_counts(np.array([len(sets[k]) for k in b])), jaccard._pack(np.concatenate([sets[k] for k in b]), 6), b"") for b in blocks]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), jaccard._ROWS)], schema=jaccard._ROWS) for part in (rows[:1], rows[1:9], rows[9:])]
+    total = sum(len(sets[k]) for b in blocks for k in b)
+    parts, out, most = 7, [], 0
+    tracemalloc.start()
+    try:
+        for batch in jaccard.count_frequencies(Grouped(), 1, parts)((pa.scalar(0),), batches):
+            most = max(most, tracemalloc.get_traced_memory()[1])
+            out += batch.to_pylist()
+    finally:
+        tracemalloc.stop()
+    df = Counter(x for own in sets.values() for x in own.tolist())
+    shared = {k: sorted(df[x] for x in own.tolist() if df[x] > 1) for k, own in sets.items()}
+    seen, number_of = {}, {}
+    for r in out:
+        here = np.frombuffer(r["keys"], np.int64)
+        counts = jaccard._unpack_counts(r["counts"], len(here))
+        number = jaccard._unpack(r["tokens"], len(r["tokens"]) // int(counts.sum())).astype(np.int64)
+        first, value = np.frombuffer(r["dfs"], "<u4").astype(np.int64).reshape(2, -1)
+        for k, own in zip(here.tolist(), np.split(number, np.cumsum(counts)[:-1])):
+            assert k % parts == r["part"] and k not in seen and (np.diff(own) > 0).all()
+            seen[k] = value[np.searchsorted(first, own, side="right") - 1].tolist()
+            number_of[k] = set(own.tolist())
+    assert seen == {k: x for k, x in shared.items() if x}
+    # Numbers stand for shingles: two sets have as many in common as before.
+    for a, b in zip([k for k in keys if k % 9][:60], [k for k in keys if k % 9][1:61]):
+        assert len(number_of[a] & number_of[b]) == len(set(sets[a].tolist()) & set(sets[b].tolist()))
+    assert most / total < 24, f"{most / total:.1f} bytes a shingle"
+
+
 def test_empty_table(spark):
     assert similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
