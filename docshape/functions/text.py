@@ -87,12 +87,16 @@ def smart_truncate(text: Column, most: int = 2000) -> Column:
     return F.when(n <= most, text).otherwise(cut)
 
 
+#: Names of plain words with a space between: only letters' case and the spaces change.
+_PLAIN = "^(?:[A-Z0-9]+[a-z0-9]*|[a-z0-9]+)(?: (?:[A-Z0-9]+[a-z0-9]*|[a-z0-9]+))*$"
+
+
 def field_name(name: Column) -> Column:
     """A name's normal form: snake case of ``[a-z0-9_]``."""
     x = F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), "([a-z])([A-Z])", "$1_$2")
     for pattern, by in ((r"[-.\s]+", "_"), ("[^a-z0-9_]", ""), ("_+", "_"), ("^_|_$", "")):
         x = F.regexp_replace(F.lower(x) if pattern.startswith("[-") else x, pattern, by)
-    return x
+    return F.when(name.rlike(_PLAIN), F.lower(F.replace(name, F.lit(" "), F.lit("_")))).otherwise(x)
 
 
 def plain_field_name(name: str) -> str:
@@ -127,7 +131,11 @@ def value_type(value: Column) -> Column:
 
 def key_values(text: Column) -> Column:
     """Array of (line, name, value) of the lines with a key of 2 to 40 characters before their first ``:`` or ``=`` and a value after it."""
-    part = lambda x, i: F.struct(i.alias("line"), F.split(x, "[:=]", 2).alias("sides"))
-    lines = F.filter(F.transform(F.split(text, "\n", -1), part), lambda x: (F.size(x["sides"]) == 2) & F.char_length(x["sides"][0]).between(2, 40))
-    found = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.trim(x["sides"][0]).alias("name"), F.trim(F.regexp_replace(x["sides"][1], r"^\s+", "")).alias("value")))
+    # Places of the marks, not a split by them: a pattern would be compiled for each line.
+    first = lambda x: F.when(F.contains(x, F.lit("=")), F.least(*(F.coalesce(F.nullif(F.instr(x, m), F.lit(0)), F.lit(1 << 30)) for m in ":="))).otherwise(F.instr(x, ":"))
+    part = lambda x, i: F.struct(i.alias("line"), x.alias("x"), first(x).alias("cut"))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), part), lambda x: x["cut"].between(3, 41))
+    blank = F.lit(" \t\n\x0b\f\r")
+    value = lambda x: F.trim(F.ltrim(F.substr(x["x"], x["cut"] + 1), blank))
+    found = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.trim(F.substr(x["x"], F.lit(1), x["cut"] - 1)).alias("name"), value(x).alias("value")))
     return F.filter(found, lambda x: (x["name"] != "") & (x["value"] != ""))

@@ -72,3 +72,18 @@ def test_json(spark):
     for bad, shape in (({}, ("dict", "a")), ([1], ("list", dict)), ("x", list)):
         with pytest.raises(ValueError):
             expect_shape(bad, shape)
+
+
+def test_lines_are_cut_without_a_pattern_for_each(spark):
+    """No line is split by a pattern that is compiled anew, and names of plain words need no replacements; odd ones are as before."""
+    from docshape.operators import presence
+
+    lines = ["ab:c", "a:b", "=x", "ab= :y", "ab:\t\x0b =z ", "é:1", "éé:1", "A=b:c", "  :v", "abc:  ", "x" * 40 + ":1", "x" * 41 + ":1", "fooBar: 2", "A1b C:2", "a  b:1", "Tax % : 5"]
+    df = spark.createDataFrame([(1, "c", "\n".join(lines)), (2, "c", None)], "doc_id long, cluster_id string, text string")
+    rows = [(r.line, r.name, r.norm, r.value) for r in presence.extract_fields(df).orderBy("line").collect()]
+    assert rows == [(0, "ab", "ab", "c"), (3, "ab", "ab", ":y"), (4, "ab", "ab", "=z"), (10, "x" * 40, "x" * 40, "1"), (12, "fooBar", "foo_bar", "2"), (13, "A1b C", "a1b_c", "2"), (14, "a  b", "a_b", "1"), (15, "Tax %", "tax", "5")]
+    plan = df.select(T.key_values(df.text).alias("kv"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[:=]" not in plan and "regexp" not in plan.lower()
+    names = ["Order Number", "ABC def", "A1 b2", "orderNumber", " x ", "a-b", "", "9"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(T.field_name(F.col("n"))).collect()]
+    assert got == [T.plain_field_name(n) for n in names]
