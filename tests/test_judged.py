@@ -163,3 +163,17 @@ def test_fixtures_and_demo(spark, tmp_path):
     assert demo.main([str(out), "-n", "30"]) == 0
     shown = json.loads(out.read_text())
     assert {"Inspection Record", "Fault Report", "Service Bulletin"} == {c["name"] for c in shown["clusters"]} and len(shown["points"]) == 30
+
+
+def test_names_are_verified_without_counting_documents(spark, tmp_path, monkeypatch):
+    """The query's names are a distinct list; names are normalized once, not for each line."""
+    from docshape.functions.text import plain_field_name
+    from docshape.operators import presence
+    from docshape.plans import queries
+
+    monkeypatch.setattr(presence, "field_frequency", lambda *a, **k: pytest.fail("documents were counted"))
+    got = queries.queries()["verify_fields"](spark, "/root/testdata/sf0.001")
+    one = [(r.norm, r.quote, r.value, r.grounded) for r in got.where("doc_id = 1000000001").collect()]
+    assert ("customer_name", "Customer Name: " + one[[o[0] for o in one].index("customer_name")][2]) == next(o[:2] for o in one if o[0] == "customer_name") and all(o[3] for o in one)
+    plain_field_name.cache_clear()
+    assert [plain_field_name(n) for n in ("Order Number", "Order Number", "orderNumber")] == ["order_number"] * 3 and plain_field_name.cache_info().hits == 1
